@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, urlfilter
+from . import chat, langid, media, mixing, quality, secrets, tokenbin, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,19 +18,35 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_table(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix_counts(_table(spark, sf_dir, "documents"))
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op5_secret_scan, op7_url_filter, op10_mixing)
+    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op9_media_avi, op10_mixing)
 }
