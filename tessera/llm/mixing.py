@@ -129,7 +129,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def with_copies(sized: DataFrame, solved: DataFrame, most: int) -> DataFrame:
     """Whole copies of each document, and its place q in the Pareto order (null if it has no fraction)."""
     j = sized.join(maybe_broadcast(solved.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
-    expected = F.least(F.lit(float(most)), F.coalesce(F.col("c") * F.col("weight"), F.lit(float(most))))
+    expected = F.col("c") * F.col("weight")
+    # Rounding must not leave a fraction just below the cap, for which every place in the order is about 0.
+    expected = F.when(expected < most - 1e-9, expected).otherwise(float(most))
     j = j.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
     j = j.withColumn("p", F.col("expected") - F.col("whole"))
     return j.withColumn("q", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))

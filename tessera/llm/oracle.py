@@ -107,7 +107,7 @@ steps AS (
   FROM cls JOIN t ON cls.source IS NOT DISTINCT FROM t.source),
 scale AS (SELECT source, arg_max(c, weight) AS c FROM (SELECT source, weight, CASE WHEN rest > 0 THEN (target - held * 2) / rest END AS c FROM steps) WHERE c * weight <= 2 GROUP BY source),
 e AS (
-  SELECT x.*, source_size, target, least(2.0, coalesce(c * weight, 2.0))::DOUBLE AS expected
+  SELECT x.*, source_size, target, (CASE WHEN c * weight < 2 - 1e-9 THEN c * weight ELSE 2.0 END)::DOUBLE AS expected
   FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source LEFT JOIN scale ON x.source IS NOT DISTINCT FROM scale.source),
 p AS (SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p FROM e),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM p),
