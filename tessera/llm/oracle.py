@@ -120,4 +120,17 @@ c AS (SELECT q.*, whole + CASE WHEN q IS NOT NULL AND (q, doc_id) <= last THEN 1
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
-ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op5_secret_scan": OP5, "op7_url_filter": OP7, "op10_mixing": OP10}
+OP3 = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS nu, any_value(b.n) AS nv FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p WHERE 100 * c >= 75 * (nu + nv - c)),
+sym AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+reach(u, v) AS (SELECT u, v FROM sym UNION SELECT reach.u, sym.v FROM reach JOIN sym ON reach.v = sym.u),
+c AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM s LEFT JOIN c ON s.doc_id = c.u
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op3_minhash_neardup": OP3, "op5_secret_scan": OP5, "op7_url_filter": OP7, "op10_mixing": OP10}

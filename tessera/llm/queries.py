@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, mixing, quality, secrets, tokenbin, urlfilter
+from . import chat, langid, media, mixing, neardup, quality, secrets, tokenbin, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -48,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op9_media_avi, op10_mixing)
+    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op9_media_avi, op10_mixing)
 }
