@@ -51,9 +51,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of runs of other bytes than white space, and the first word of each text (with the total last)."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of other bytes than those between, and the first word of each text (with the total last).
+
+    between: for each of the 256 bytes, whether it separates words; white space if not given.
+    """
+    solid = ~between[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = bool(len(data)) and solid[0], bool(len(data)) and solid[-1]
     edge[1:-1] = solid[1:] != solid[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, mixing, neardup, quality, secrets, tokenbin, urlfilter
+from . import chat, decontam, langid, media, mixing, neardup, quality, secrets, tokenbin, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op9_media_avi, op10_mixing)
+    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op8_decontaminate, op9_media_avi, op10_mixing)
 }
