@@ -220,7 +220,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("k"), F.col(label_col).alias("y"))
     sample = known.orderBy(F.xxhash64("k"), "k", "y").limit(max_train)
-    taken = docs.join(F.broadcast(sample.select("k").distinct()), F.col(id_col) == F.col("k"), "left_semi")
+    taken = docs.select(id_col, text_col).join(F.broadcast(sample.select(F.col("k").alias(id_col)).distinct()), id_col, "left_semi")
     model = docs.sparkSession.sparkContext.broadcast(train(feature_rows(taken, id_col, text_col), sample.select(F.col("k").alias(id_col), F.col("y").alias(label_col)), id_col=id_col, label_col=label_col, max_train=max_train))
 
     def run(batches):
