@@ -49,9 +49,16 @@ class Scratch:
     def path(self, name: str = "t") -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+    def save(self, df: DataFrame, name: str = "t", arrow_rows: int | None = None) -> DataFrame:
+        """Write df and read it back. arrow_rows: rows in an Arrow batch meanwhile, where rows are large."""
+        path, conf = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(conf)
+        try:
+            if arrow_rows:
+                self.spark.conf.set(conf, arrow_rows)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(conf, usual)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         self._keep = getattr(self, "_keep", []) + [out]

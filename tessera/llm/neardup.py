@@ -19,8 +19,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 5
 #: Signature hashes compared at a time, and the posterior probability of a link below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
-#: Members of a bucket in a block; blocks of large buckets are compared in pairs.
-BLOCK = 256
+#: Members of a bucket in a block, and bytes of their sets; blocks of large buckets are compared in pairs.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _U = np.uint64
 
 # ---- sets and signatures --------------------------------------------------------------
@@ -155,15 +155,12 @@ def _with_sigs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return j.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT).select("u", "v", "n_u", "n_v", "sig_u", "sig_v")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough: ``(u, v)``.
+def set_table(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``id, shingles``: the full sets of the documents with these distinct ids.
 
-    Only documents of a pair are read for their sets; a list of ids up to
-    ``most_broadcast`` goes to the scans, a longer one is joined by a shuffle. Near copies
-    are about as long as each other, so sending a set along with each pair costs as much
-    as the partners' own sets do.
+    A list of ids up to ``most_broadcast`` goes to the scans, a longer one is joined by a shuffle.
     """
-    ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+    ids = scratch.save(ids, "ids")
     if ids.limit(most_broadcast + 1).count() <= most_broadcast:
         ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
@@ -173,83 +170,134 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratc
             for b in chunks(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(b.column("text"))], pa.binary())], ["id", "shingles"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    # Rows may share an id only if they are repeated; one of each is enough.
-    full = scratch.save(rows.mapInArrow(sets, f"id {kind}, shingles binary"), "sets")
+    full = rows.mapInArrow(sets, f"id {docs.schema[id_col].dataType.simpleString()}, shingles binary")
+    return scratch.save(full.dropDuplicates(["id"]), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """Pairs whose full shingle sets are similar enough: ``(u, v)``.
+
+    Near copies are about as long as each other, so sending a set along with each pair of a
+    hub and a member costs as much as the members' own sets do.
+    """
+    full = set_table(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, id_col, text_col, scratch)
 
     def run(batches):
         for b in batches:
-            keep = []
-            for u, v in zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True):
-                x, y = np.frombuffer(u, "<u8"), np.frombuffer(v, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(u, "<u8"), [np.frombuffer(v, "<u8")])[0] for u, v in zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda k: full.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")).hint("merge")
     joined = pairs.select("u", "v").join(side("v"), "v").join(side("u"), "u").select("u", "v", "set_u", "set_v")
-    links = scratch.save(joined.mapInArrow(run, pairs.select("u", "v").schema).distinct(), "linked")
+    links = scratch.save(joined.mapInArrow(run, pairs.select("u", "v").schema).distinct(), "linked", arrow_rows=256)
     scratch.drop(full)
     return links
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Likely pairs of different components within a bucket: ``members (key, id, comp, n, sig, size)``.
+def _similar(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which sorted sets are similar enough to a; exact."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    both = np.add.reduceat(a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat, np.cumsum(sizes) - sizes)
+    return 100 * both >= PERCENT * (len(a) + sizes - both)
 
-    A bucket's members are dealt into blocks of about BLOCK; every two blocks meet in one
-    place, where signatures are compared in numpy. No list of all pairs is made: what comes
-    out is the pairs that survive.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+
+def _block_groups(members: DataFrame, extra: list[str]) -> DataFrame:
+    """Deal each bucket's members into blocks of about BLOCK rows or BLOCK_BYTES; every two blocks meet in one place (key, p, q), sorted."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("own", own)
+    m = members.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", own)
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "n", "sig")
-    m = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+    m = m.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "n", "sig", *extra)
+    return m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+
+
+def _each_group(t: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
+    """The groups of a sorted table; what may go on in the next batch is left over unless it is the last."""
+    if not len(t):
+        return [], t
+    change = np.zeros(len(t) - 1, bool)
+    for c in ("key", "p", "q"):
+        change |= np.diff(t.column(c).to_numpy()) != 0
+    bounds = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
+    whole = len(bounds) - 1 if last else len(bounds) - 2
+    return [t.slice(a, z - a) for a, z in zip(bounds[:whole], bounds[1 : whole + 1], strict=True)], None if last else t.slice(bounds[-2])
+
+
+def _in_groups(batches, work, out_names: list[str]):
+    """Call work(group) for each group of a task's sorted batches and yield its arrays."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        groups, held = _each_group(t if held is None else pa.concat_tables([held, t]), False)
+        yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in cols], out_names) for g in groups if len((cols := work(g))[0]))
+    if held is not None:
+        groups, _ = _each_group(held, True)
+        yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in cols], out_names) for g in groups if len((cols := work(g))[0]))
+
+
+def _partners(g: pa.Table):
+    """For each member of a group, its likely partners of other components: (i, js).
+
+    A pair that shares several buckets counts in that of its first band alone.
+    """
+    id_, comp, n, side = (g.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
+    sig, band = _sigs(g.column("sig").combine_chunks()), g.column("band")[0].as_py()
+    one_block = g.column("p")[0] == g.column("q")[0]
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        js = np.arange(i + 1, len(id_)) if one_block else right
+        js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * PERCENT)]
+        js = js[likely(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js])] if len(js) else js
+        if len(js):
+            js = js[(sig[js] == sig[i]).reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band]
+        if len(js):
+            yield i, js
+
+
+def likely_members(members: DataFrame) -> DataFrame:
+    """``key, id``: members with a likely partner of another component in their bucket.
+
+    ``members (key, band, id, comp, n, sig, size, bytes)``. Signatures are compared in numpy; no
+    list of pairs is made.
+    """
 
-    def compare(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n, sig, side = rows["id"], rows["comp"], rows["n"], rows["sig"], rows["side"]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        us, vs = [], []
-        same_block = rows["p"] == rows["q"]
-        for i in left:
-            js = np.arange(i + 1, len(ids)) if same_block else right
-            js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * PERCENT)]
-            if len(js):
-                js = js[likely(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js])]
-                us.append(np.minimum(ids[i], ids[js]))
-                vs.append(np.maximum(ids[i], ids[js]))
-        return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+    def work(g: pa.Table):
+        id_ = g.column("id").to_numpy()
+        hit = np.zeros(len(id_), bool)
+        for i, js in _partners(g):
+            hit[i] = True
+            hit[js] = True
+        return np.full(hit.sum(), g.column("key")[0].as_py()), id_[hit]
 
-    def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            held = yield from groups(t.combine_chunks(), False)
-        if held is not None:
-            yield from groups(held, True)
-
-    def groups(t: pa.Table, last: bool):
-        col = {c: t.column(c).to_numpy() for c in ("key", "p", "q", "side", "id", "comp", "n")}
-        change = (np.diff(col["key"]) != 0) | (np.diff(col["p"]) != 0) | (np.diff(col["q"]) != 0)
-        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
+    kind = members.schema["id"].dataType.simpleString()
+    return _block_groups(members, []).mapInArrow(lambda b: _in_groups(b, work, ["key", "id"]), f"key bigint, id {kind}").distinct()
+
+
+def cross_links(members: DataFrame) -> DataFrame:
+    """Links between different components, found on full sets: ``u, v``.
+
+    Like ``likely_members`` with ``shingles``. Within a group a link joins its components, so
+    later pairs of them are passed over: what comes out of a group is a forest, never more
+    rows than members, though each likely pair of what is still apart has been verified.
+    """
+
+    def work(g: pa.Table):
+        id_, comp = g.column("id").to_numpy(), g.column("comp").to_numpy()
+        sets = [np.frombuffer(s, "<u8") for s in g.column("shingles").to_pylist()]
+        group = np.unique(comp, return_inverse=True)[1]
         us, vs = [], []
-        stop = len(bounds) - 1 if last else len(bounds) - 2
-        for a, z in zip(bounds[:stop], bounds[1 : stop + 1], strict=True):
-            g = {c: v[a:z] for c, v in col.items() if c not in ("key", "p", "q")}
-            g |= {"p": col["p"][a], "q": col["q"][a], "sig": _sigs(t.column("sig").slice(a, z - a).combine_chunks())}
-            u, v = compare(g)
-            us.append(u)
-            vs.append(v)
-        if us:
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-        return None if last else t.slice(bounds[-2])
+        for i, js in _partners(g):
+            js = js[group[js] != group[i]]
+            if len(js):
+                for j in js[_similar(sets[i], [sets[j] for j in js])]:
+                    if group[j] != group[i]:
+                        group[group == group[j]] = group[i]
+                        us.append(id_[i])
+                        vs.append(id_[j])
+        return np.array(us, id_.dtype), np.array(vs, id_.dtype)
 
     kind = members.schema["id"].dataType.simpleString()
-    return m.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+    return _block_groups(members, ["shingles"]).mapInArrow(lambda b: _in_groups(b, work, ["u", "v"]), f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,9 +308,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     2. A bucket's least member is paired with the others. Signatures are compared batch by
        batch; a pair goes when the posterior probability of a link falls below MISS. The
        rest is verified on full sets, and links make components.
-    3. Pairs in a bucket whose members are still in different components are compared in
-       blocks, pruned and verified alike. After that, each candidate pair has been judged
-       or joins members of one component, where it could change nothing.
+    3. Where a bucket's members are still in different components, they are compared in
+       blocks: signatures first, then, for those with likely partners, full sets. After
+       that, each candidate pair has been judged or lies within one component, where it
+       could change nothing. Large groups cost comparisons in numpy, but no row for a pair.
 
     Null and wordless texts have no set, no links and are their own component. Rows that
     repeat an id must repeat the text; each gets a row. Rows with a null id stand alone with
@@ -275,9 +324,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = sketches.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = scratch.save(reps.select("id", "n_shingles", "sig", "bands"), "reps")
 
-    keyed = reps.select(F.explode("bands").alias("key"), "id")
+    keyed = reps.select(F.posexplode("bands").alias("band", "key"), "id")
     buckets = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1"), "buckets")
-    members = scratch.save(keyed.join(buckets.hint("merge"), "key").select("key", "id", "size", "hub"), "members")
+    members = scratch.save(keyed.join(buckets.hint("merge"), "key").select("key", "band", "id", "size", "hub"), "members")
 
     star = members.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     hopeful = scratch.save(prune(_with_sigs(star, reps)), "hopeful")
@@ -285,13 +334,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = connected_components(links, scratch)
 
     at = comps.select(F.col("node").alias("id"), F.col("label").alias("comp"))
-    open_ = scratch.save(members.join(at.hint("merge"), "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp")), "open")
+    open_ = scratch.save(members.join(at.hint("merge"), "id", "left").select("key", "band", "id", "size", F.coalesce("comp", "id").alias("comp")), "open")
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = open_.join(scratch.save(mixed, "mixed").hint("merge"), "key", "left_semi")
     rest = rest.join(reps.select("id", F.col("n_shingles").alias("n"), "sig").hint("merge"), "id")
-    more = scratch.save(cross_pairs(rest), "more")
-    if more.limit(1).count():
-        links = links.union(verify(more, docs, id_col, text_col, scratch))
+    hopeful = scratch.save(likely_members(rest.withColumn("bytes", F.lit(0))), "likely")
+    if hopeful.limit(1).count():
+        sets = set_table(hopeful.select("id").distinct(), docs, id_col, text_col, scratch)
+        rest = open_.drop("size").join(hopeful.hint("merge"), ["key", "id"]).join(reps.select("id", F.col("n_shingles").alias("n"), "sig").hint("merge"), "id")
+        rest = scratch.save(rest, "rest")
+        sizes = scratch.save(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.sum("n") * 8).alias("bytes")), "sizes")
+        rest = rest.join(sizes.hint("merge"), "key").join(sets.hint("merge"), "id")
+        links = links.union(scratch.save(cross_links(rest), "crossed", arrow_rows=256))
         comps = connected_components(links, scratch)
 
     named = comps.withColumnsRenamed({"node": "rep", "label": "component"})
