@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     ``by_word`` holds for a tokenizer that splits lower-cased text into the pieces above
     and encodes each on its own. Null texts count as empty and have the end id alone.
-    Null ids come first; rows that repeat an id stay next to each other.
+    Null ids come first; rows that repeat an id stay next to each other, by a hash of their text.
     """
     path = tokenizer or default_tokenizer()
     scratch = scratch or Scratch(docs.sparkSession)
@@ -196,7 +196,9 @@ def write_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield from out()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    # The text's hash gives rows that repeat an id a fixed order, and lets ranges split an id that very many rows have.
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return scratch.save(rows.mapInArrow(run, "part bigint, block int, first_doc bigint, n_docs bigint, n_ids bigint, shard binary"), "shards")
 
 
