@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch, maybe_broadcast, word_count
 
-#: Parts of the order statistic's range that are counted before any row is ranked.
-BUCKETS = 65_536
+#: Parts of the order statistic's range that are counted before any row is ranked, for each unit of its natural logarithm.
+PARTS = 8192
 #: Expected copies grow with a text's length class up to this class.
 TOP_CLASS = 6
 _HALF = 2.0**-53
@@ -20,6 +20,15 @@ def length_weight(size: Column) -> Column:
     return F.least(F.lit(TOP_CLASS), F.length(F.bin(F.floor(size / 8).cast("long")))).cast("int")
 
 
+def _part(q: Column) -> Column:
+    """The part that a place in the order falls in; null without a place.
+
+    The logarithm of random odds has a logistic distribution, which inclusion odds only shift:
+    however small or large a probability is, no part gets more than 1 / (4 * PARTS) of its rows.
+    """
+    return F.floor(F.log(q) * PARTS).cast("int")
+
+
 def _uniform(doc_id: Column, seed: str) -> Column:
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") * F.lit(2 * _HALF) + F.lit(_HALF)
@@ -98,8 +107,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     solved = scratch.save(targets.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "solved")
 
     placed = with_copies(sized, solved, most).select("source", "id", "size", "whole", "q", "target")
-    part = F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS).cast("int")
-    placed = placed.withColumn("part", F.when(F.col("q").isNotNull(), F.least(part, F.lit(BUCKETS - 1))).otherwise(BUCKETS))
+    placed = placed.withColumn("part", _part(F.col("q")))
     parts = placed.groupBy("source", "part").agg(
         F.sum(F.when(F.col("q").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target")
     )
@@ -112,7 +120,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cut = scratch.save(cut, "cut")
 
     c2 = maybe_broadcast(cut.withColumnsRenamed({"source": "s", "part": "p"}))
-    near = placed.where(f"part < {BUCKETS}").join(c2, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")), "inner")
+    near = placed.where("part is not null").join(c2, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")), "inner")
     ranked = near.withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())))
     own = F.sum("size").over(W.partitionBy("source", "q", "id"))
     ranked = ranked.withColumn("start", F.col("upto") - own)
@@ -140,7 +148,7 @@ def with_copies(sized: DataFrame, solved: DataFrame, most: int) -> DataFrame:
 def copies(sized: DataFrame, ends: DataFrame, most: int = 2) -> DataFrame:
     """Add ``copies``, ``source_size`` and ``target`` to sized documents."""
     j = with_copies(sized, ends, most)
-    part = F.least(F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+    part = _part(F.col("q"))
     below = F.col("q").isNotNull() & (
         F.coalesce(F.col("take_all"), F.lit(False))
         | F.coalesce(part < F.col("cut_part"), F.lit(False))
