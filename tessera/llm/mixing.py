@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch, maybe_broadcast, word_count
 
-#: Parts of the order statistic's range that are counted before any row is ranked, for each unit of its natural logarithm.
-PARTS = 8192
+#: Parts of the order statistic's range for each unit of its natural logarithm. They are counted level by level, each inside the one part of the level before in which a source's target falls.
+LEVELS = (16, 1024, 65_536)
 #: Expected copies grow with a text's length class up to this class.
 TOP_CLASS = 6
 _HALF = 2.0**-53
@@ -20,13 +20,13 @@ def length_weight(size: Column) -> Column:
     return F.least(F.lit(TOP_CLASS), F.length(F.bin(F.floor(size / 8).cast("long")))).cast("int")
 
 
-def _part(q: Column) -> Column:
+def _part(q: Column, parts: int = LEVELS[-1]) -> Column:
     """The part that a place in the order falls in; null without a place.
 
     The logarithm of random odds has a logistic distribution, which inclusion odds only shift:
-    however small or large a probability is, no part gets more than 1 / (4 * PARTS) of its rows.
+    however small or large a probability is, no part gets more than about 1 / (4 * parts) of its rows.
     """
-    return F.floor(F.log(q) * PARTS).cast("int")
+    return F.floor(F.log(q) * parts).cast("int")
 
 
 def _uniform(doc_id: Column, seed: str) -> Column:
@@ -81,8 +81,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     length class, at most ``most``. Whole copies are certain; the fraction is an inclusion
     probability p. Documents are ranked by ``u / (1 - u)`` over ``p / (1 - p)`` and taken
     from the least until the words come nearest to what the source still lacks. The rank is
-    found by counting words in fixed parts of its range, then ordering only the part in
-    which the target falls, so that a source with most of the rows is never in one task.
+    found by counting words in parts of its range and in finer parts of the one in which the
+    target falls, then ordering only the last of these: neither the parts nor the rows of a
+    source that has most of the rows are many in one task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -107,7 +108,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     solved = scratch.save(targets.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "solved")
 
     placed = with_copies(sized, solved, most).select("source", "id", "size", "whole", "q", "target")
-    placed = placed.withColumn("part", _part(F.col("q")))
+    placed = placed.withColumn("part", _part(F.col("q"), LEVELS[0]))
     parts = placed.groupBy("source", "part").agg(
         F.sum(F.when(F.col("q").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target")
     )
@@ -119,8 +120,16 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     full = parts.where("words > 0").groupBy("source").agg(F.max("lack").alias("lack"), F.sum("words").alias("all_words"))
     cut = scratch.save(cut, "cut")
 
-    c2 = maybe_broadcast(cut.withColumnsRenamed({"source": "s", "part": "p"}))
-    near = placed.where("part is not null").join(c2, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")), "inner")
+    def inside(cut: DataFrame) -> DataFrame:
+        c = maybe_broadcast(cut.withColumnsRenamed({"source": "s", "part": "p"}))
+        return placed.where("part is not null").join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")), "inner").drop("s", "p")
+
+    for level in LEVELS[1:]:
+        finer = inside(cut).withColumn("part", _part(F.col("q"), level)).groupBy("source", "part").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("lack").alias("lack"))
+        finer = finer.withColumn("before", F.col("before") + F.sum("words").over(up_to) - F.col("words"))
+        cut = scratch.save(finer.where("words > 0 and before < lack and before + words >= lack").select("source", "part", "before", "lack"), "cut")
+        placed = placed.withColumn("part", _part(F.col("q"), level))
+    near = inside(cut)
     ranked = near.withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())))
     own = F.sum("size").over(W.partitionBy("source", "q", "id"))
     ranked = ranked.withColumn("start", F.col("upto") - own)
