@@ -17,6 +17,8 @@ EDITS_PERCENT, SHORT, LEAST = 20, 10, 5
 WALKS, SAMPLES, POSITIONS = 4, 16, 3
 #: Items in one pass over the documents; more items take more passes.
 BLOCK_ITEMS = 20_000
+#: Words of windows that are embedded at a time, so that memory does not grow with an item's length.
+MATCH_WORDS = 1 << 18
 GRAM = 3
 _U = np.uint64
 _BETWEEN = np.ones(256, bool)
@@ -140,6 +142,11 @@ def build(ids: list, texts: list[str | None]) -> Index | None:
     return Index({n: np.array([ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, table)
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each start and the numbers after it, so many as count says, one run after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages of the texts that are items but for a few edits: text, item, first word, words, distance.
 
@@ -162,12 +169,15 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
         own = hit[np.isin(g[hit], known)]
         if len(own) < least:
             continue
-        at = np.unique(np.maximum(own[:, None] - np.arange(n + k - GRAM + 1), first[doc[own]][:, None]))
+        # Places up to n + k words before a shared run, each once: every run adds those after the one before it.
+        low = np.maximum(np.maximum(own - (n + k - GRAM), first[doc[own]]), np.concatenate([[-1], own[:-1]]) + 1)
+        at = _ranges(low, own - low + 1)
         at = at[(at % step == 0) | (at == first[doc[at]])]
         shared = np.searchsorted(own, np.minimum(at + n + k, end[at]) - GRAM, side="right") - np.searchsorted(own, at)
         at = at[shared >= least]
-        for lo in range(0, len(at), 4096):
-            part = at[lo : lo + 4096]
+        per = max(1, MATCH_WORDS // n)
+        for lo in range(0, len(at), per):
+            part = at[lo : lo + per]
             found += _match(index, h, part, first[doc[part]], end, n)
     if not found:
         empty = np.zeros(0, np.int64)
@@ -189,14 +199,15 @@ def _match(index: Index, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end:
     lo, hi = np.searchsorted(keys, mine.ravel()), np.searchsorted(keys, mine.ravel(), side="right")
     count = hi - lo
     row = np.repeat(np.arange(len(count)) // mine.shape[1], count)
-    slot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+    slot = _ranges(lo, count)
     pairs = np.unique(np.stack([row, owner[slot]], axis=1), axis=0) if len(slot) else np.zeros((0, 2), np.int64)
     start = np.maximum(at - k, begin)
     around = np.arange(n + 3 * k + 1)
     around = np.where(start[:, None] + around < end[at][:, None], h[np.minimum(start[:, None] + around, len(h) - 1)], _U(0))
     out = []
-    for a in range(0, len(pairs), 8192):
-        w, i = pairs[a : a + 8192].T
+    per = max(1, 2 * MATCH_WORDS // n)
+    for a in range(0, len(pairs), per):
+        w, i = pairs[a : a + per].T
         d = edit_distances(index.strings[n][i], around[w], (at - start)[w] + k)
         ok = d <= k
         out.append((at[w[ok]], index.ids[n][i[ok]], np.minimum(n, end[at[w[ok]]] - at[w[ok]]), d[ok].astype(np.int64)))

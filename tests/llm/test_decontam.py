@@ -99,3 +99,16 @@ def test_edges(spark):
     kept = decontam.drop_contaminated(edge_table(spark), bench)
     assert kept.columns == edge_table(spark).columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 8]
     assert decontam.contaminated(empty_table(spark), bench).count() == 0 == decontam.drop_contaminated(empty_table(spark), bench).count()
+
+
+def test_long_items_and_copies_of_one_take_bounded_memory(monkeypatch):
+    """Windows dealt out a few at a time find what they find all at once."""
+    r = random.Random(21)
+    items = [prose(3000, 400), prose(3001, 60), prose(3002, 60)]
+    texts = pa.array([" ".join(prose(4000 + i, 30) + edited(r, items[i % 3], 9) + prose(5000 + i, 30)) for i in range(12)] + [" ".join(items[1] * 40), "", None])
+    index = decontam.build([7, 8, 9], [" ".join(i) for i in items])
+    usual = [x.tolist() for x in decontam.search(index, texts)]
+    assert set(zip(usual[0], usual[1], strict=True)) == {(i, 7 + i % 3) for i in range(12)} | {(12, 8)}
+    monkeypatch.setattr(decontam, "MATCH_WORDS", 500)
+    assert [x.tolist() for x in decontam.search(index, texts)] == usual
+    assert decontam._ranges(np.array([5, 2, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
