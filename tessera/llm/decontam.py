@@ -13,11 +13,11 @@ from .arrays import chunks, mix64, utf8, word_hashes, words
 
 #: Edits allowed per hundred words of an item; items below SHORT words allow none, below LEAST they name no passage.
 EDITS_PERCENT, SHORT, LEAST = 20, 10, 5
-#: Random walks, bit samples for each walk, and positions in a sample. At 20 edits in 100 words they find more than 0.99 of the windows in simulation.
+#: Random walks, bit samples for each walk, and positions in a sample. What shares none of their keys, as long items with many edits often do, is found by grams.
 WALKS, SAMPLES, POSITIONS = 4, 16, 3
 #: Items in one pass over the documents; more items take more passes.
 BLOCK_ITEMS = 20_000
-#: Words of windows that are embedded at a time, so that memory does not grow with an item's length.
+#: Words of windows that are embedded at a time, and shared grams of single items that are counted at a time, so that memory does not grow with the items' length or number.
 MATCH_WORDS = 1 << 18
 GRAM = 3
 _U = np.uint64
@@ -88,21 +88,25 @@ def sample_keys(x: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def edit_distances(items: np.ndarray, texts: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Fewest edits from rows of items to any run of words in the same rows of texts, all rows at once.
+def edit_distances(items: np.ndarray, texts: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits from rows of items to any run of words in the same rows of texts, and the first place where such a run begins, all rows at once.
 
     A run may begin within the first ``lead`` words and end anywhere; texts are 0 past their end.
     """
     rows, n = items.shape
-    ramp = np.arange(texts.shape[1] + 1, dtype=np.int32)
+    # A number holds the edits and, in its lower half, where the run begins.
+    ramp = np.arange(texts.shape[1] + 1, dtype=np.int64)
+    one = ramp << 32
     # Before the item's first word, words of the lead are free.
-    prev = np.maximum(ramp - lead[:, None], 0).astype(np.int32)
+    free = np.minimum(ramp, lead[:, None])
+    prev = ((ramp - free) << 32) + free
     for i in range(n):
-        cur = prev + 1
-        cur[:, 1:] = np.minimum(cur[:, 1:], prev[:, :-1] + (items[:, i : i + 1] != texts))
+        cur = prev + (1 << 32)
+        cur[:, 1:] = np.minimum(cur[:, 1:], prev[:, :-1] + ((items[:, i : i + 1] != texts).astype(np.int64) << 32))
         # Insertions run along the row: a running minimum of values less their position.
-        prev = np.minimum.accumulate(cur - ramp, axis=1) + ramp
-    return prev.min(1)
+        prev = np.minimum.accumulate(cur - one, axis=1) + one
+    least = prev.min(1)
+    return least >> 32, least & 0xFFFFFFFF
 
 
 @dataclass
@@ -113,6 +117,7 @@ class Index:
     strings: dict[int, np.ndarray]
     keys: dict[int, tuple[np.ndarray, np.ndarray]]
     grams: dict[int, np.ndarray]
+    owners: dict[int, np.ndarray]
     table: np.ndarray
 
     def has(self, g: np.ndarray) -> np.ndarray:
@@ -129,7 +134,11 @@ def build(ids: list, texts: list[str | None]) -> Index | None:
     if not by:
         return None
     strings = {n: np.stack([h[first[k] : first[k + 1]] for k in ks]) for n, ks in by.items()}
-    own = {n: np.unique(np.concatenate([grams(row)[: n - GRAM + 1] for row in s])) for n, s in strings.items()}
+    own, owners = {}, {}
+    for n, s in strings.items():
+        own[n], which = np.unique(np.concatenate([grams(row)[: n - GRAM + 1] for row in s]), return_inverse=True)
+        # Each gram's items, as gram * items + item.
+        owners[n] = np.unique(which * len(s) + np.repeat(np.arange(len(s)), n - GRAM + 1))
     g = np.concatenate(list(own.values()))
     size = max(1 << 16, 1 << int(64 * len(g) - 1).bit_length())
     table = np.zeros(size, bool)
@@ -139,7 +148,7 @@ def build(ids: list, texts: list[str | None]) -> Index | None:
         k = sample_keys(s)
         order = np.argsort(k.ravel(), kind="stable")
         keys[n] = (k.ravel()[order], order // k.shape[1])
-    return Index({n: np.array([ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, table)
+    return Index({n: np.array([ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, table)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -147,14 +156,26 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def _dense(own: np.ndarray, doc: np.ndarray, least: int, span: int) -> np.ndarray:
+    """Which of the ordered places lie at most span after one that begins ``least`` places of a text within span."""
+    m = len(own) - least + 1
+    if m <= 0:
+        return np.zeros(len(own), bool)
+    begins = (own[least - 1 :] - own[:m] <= span) & (doc[own[least - 1 :]] == doc[own[:m]])
+    last = np.maximum.accumulate(np.where(begins, own[:m], -span - 1))
+    return own - np.concatenate([last, np.full(least - 1, last[-1])]) <= span
+
+
 def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages of the texts that are items but for a few edits: text, item, first word, words, distance.
 
     A run of words within k edits of an item of n words shares at least n - 2 - 3 k runs of
     three words with it, among the n + k words from its start; places with fewer from the
     items of that size are passed over, which loses nothing. Elsewhere windows of n words are
-    embedded and looked up, one at every k / 2 words (an edit more or two for a passage that
-    begins between them), and the words around those that an item's key finds are verified.
+    embedded and looked up, one at every k / 2 words of a text, and the words around those
+    that an item's key finds are verified. Keys miss passages; so wherever a single item
+    shares enough runs for fewer edits than its keys have found in the text, the words there
+    are verified as well. The result is that of verifying every item in every text.
     """
     h, first = text_words(texts)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -165,20 +186,24 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     for n, known in index.grams.items() if len(hit) else ():
         k = edits(n)
         step = max(1, k // 2)
-        least = n - GRAM + 1 - GRAM * k - (step - 1)
+        least = n - GRAM + 1 - GRAM * k
         own = hit[np.isin(g[hit], known)]
-        if len(own) < least:
+        own = own[_dense(own, doc, least, n + k - GRAM)]
+        if not len(own):
             continue
         # Places up to n + k words before a shared run, each once: every run adds those after the one before it.
         low = np.maximum(np.maximum(own - (n + k - GRAM), first[doc[own]]), np.concatenate([[-1], own[:-1]]) + 1)
         at = _ranges(low, own - low + 1)
-        at = at[(at % step == 0) | (at == first[doc[at]])]
+        at = at[(at - first[doc[at]]) % step == 0]
         shared = np.searchsorted(own, np.minimum(at + n + k, end[at]) - GRAM, side="right") - np.searchsorted(own, at)
-        at = at[shared >= least]
+        at = at[shared >= least - (step - 1)]
         per = max(1, MATCH_WORDS // n)
+        keyed = []
         for lo in range(0, len(at), per):
             part = at[lo : lo + per]
-            found += _match(index, h, part, first[doc[part]], end, n)
+            keyed += _match(index, h, part, first[doc[part]], end, n)
+        for at, item, dist in keyed + _missed(index, h, g, own, first, doc, end, n, keyed):
+            found.append((at, index.ids[n][item], np.minimum(n, end[at] - at), dist))
     if not found:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty
@@ -191,7 +216,7 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _match(index: Index, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> list[tuple]:
-    """Verified matches of the windows that begin at ``at`` with items of n words."""
+    """Verified matches of the windows that begin at ``at`` with items of n words: first word, item, distance."""
     k = edits(n)
     keys, owner = index.keys[n]
     cols = at[:, None] + np.arange(n)
@@ -201,16 +226,68 @@ def _match(index: Index, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end:
     row = np.repeat(np.arange(len(count)) // mine.shape[1], count)
     slot = _ranges(lo, count)
     pairs = np.unique(np.stack([row, owner[slot]], axis=1), axis=0) if len(slot) else np.zeros((0, 2), np.int64)
-    start = np.maximum(at - k, begin)
-    around = np.arange(n + 3 * k + 1)
-    around = np.where(start[:, None] + around < end[at][:, None], h[np.minimum(start[:, None] + around, len(h) - 1)], _U(0))
+    w, i = pairs.T
+    start = np.maximum(at - k, begin)[w]
+    return _verify(index, h, start, at[w] - start + k, end[at[w]], i, n, n + 3 * k + 1)
+
+
+def _verify(index: Index, h: np.ndarray, start: np.ndarray, lead: np.ndarray, end: np.ndarray, item: np.ndarray, n: int, width: int) -> list[tuple]:
+    """The runs nearest to items that begin up to ``lead`` words after ``start``, where they are near enough: first word, item, distance."""
+    out = []
+    per = max(1, MATCH_WORDS // n)
+    for a in range(0, len(start), per):
+        s, i = start[a : a + per], item[a : a + per]
+        cols = s[:, None] + np.arange(width)
+        around = np.where(cols < end[a : a + per, None], h[np.minimum(cols, len(h) - 1)], _U(0))
+        d, at = edit_distances(index.strings[n][i], around, lead[a : a + per])
+        ok = d <= edits(n)
+        out.append(((s + at)[ok], i[ok], d[ok]))
+    return out
+
+
+def _missed(index: Index, h: np.ndarray, g: np.ndarray, own: np.ndarray, first: np.ndarray, doc: np.ndarray, end: np.ndarray, n: int, keyed: list[tuple]) -> list[tuple]:
+    """Matches with fewer edits than ``keyed`` has for the text and item, wherever an item shares enough grams for them.
+
+    ``own`` are the places of grams from items of n words. The starts to be verified are
+    dealt out in tiles of n + k words.
+    """
+    k, many = edits(n), len(index.strings[n])
+    have, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if keyed:
+        at, item, best = (np.concatenate(x) for x in zip(*keyed, strict=True))
+        have = doc[at] * many + item
+        order = np.lexsort((best, have))
+        have, at = np.unique(have[order], return_index=True)
+        best = best[order][at]
+    owners, gram = index.owners[n], np.searchsorted(index.grams[n], g[own])
+    total = int((np.searchsorted(owners, (gram + 1) * many) - np.searchsorted(owners, gram * many)).sum())
+    parts = 1 if total <= 4 * MATCH_WORDS else min(many, -(-len(own) * many // (4 * MATCH_WORDS)))
     out = []
-    per = max(1, 2 * MATCH_WORDS // n)
-    for a in range(0, len(pairs), per):
-        w, i = pairs[a : a + per].T
-        d = edit_distances(index.strings[n][i], around[w], (at - start)[w] + k)
-        ok = d <= k
-        out.append((at[w[ok]], index.ids[n][i[ok]], np.minimum(n, end[at[w[ok]]] - at[w[ok]]), d[ok].astype(np.int64)))
+    for part in range(parts):
+        lo = np.searchsorted(owners, gram * many + many * part // parts)
+        count = np.searchsorted(owners, gram * many + many * (part + 1) // parts) - lo
+        item, at = owners[_ranges(lo, count)] % many, np.repeat(own, count)
+        pair = doc[at] * many + item
+        known = np.searchsorted(have, pair)
+        seen = known < len(have)
+        seen[seen] = have[known[seen]] == pair[seen]
+        most = np.full(len(pair), k)
+        most[seen] = best[known[seen]] - 1
+        keep = np.flatnonzero(most >= 0)
+        keep = keep[np.argsort(item[keep], kind="stable")]
+        item, at, pair, most = item[keep], at[keep], pair[keep], most[keep]
+        # The last of as many shared grams as so few edits leave must lie in the same run.
+        last = np.arange(len(at)) + n - GRAM - GRAM * most
+        begins = np.flatnonzero(last < len(at))
+        last = last[begins]
+        ok = (pair[last] == pair[begins]) & (at[last] + GRAM - at[begins] <= n + most[begins])
+        begins, last = begins[ok], last[ok]
+        base = first[doc[at[begins]]]
+        low = (np.maximum(at[last] + GRAM - n - most[begins], base) - base) // (n + k)
+        count = (at[begins] - base) // (n + k) - low + 1
+        tiles = np.stack([np.repeat(base, count) + _ranges(low, count) * (n + k), np.repeat(item[begins], count)], axis=1)
+        start, item = np.unique(tiles, axis=0).T
+        out += _verify(index, h, start, np.full(len(start), n + k), end[start], item, n, 2 * (n + k) + 1)
     return out
 
 

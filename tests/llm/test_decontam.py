@@ -112,3 +112,33 @@ def test_long_items_and_copies_of_one_take_bounded_memory(monkeypatch):
     monkeypatch.setattr(decontam, "MATCH_WORDS", 500)
     assert [x.tolist() for x in decontam.search(index, texts)] == usual
     assert decontam._ranges(np.array([5, 2, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+@pytest.mark.parametrize(("n", "times"), [(12, 60), (100, 24), (400, 8), (1000, 4), (2000, 2)])
+def test_recall_does_not_fall_with_length(n, times):
+    """Passages at any place of longer texts are all found, with the fewest edits, up to the most that are allowed."""
+    r = random.Random(n)
+    items, texts, most = [prose(70_000 + n * 10 + i, n) for i in range(3)], [], []
+    for k in range(times):
+        share = (0, 0.05, 0.1, 0.2)[k % 4] if times > 2 else (0.1, 0.2)[k]
+        texts.append(prose(80_000 + k, r.randrange(3 * n)) + edited(r, items[k % 3], int(n * share)) + prose(90_000 + k, r.randrange(n)))
+        most.append(int(n * share))
+    index = decontam.build([0, 1, 2], [" ".join(i) for i in items])
+    text, item, at, _, dist = decontam.search(index, pa.array([" ".join(t) for t in texts]))
+    assert list(zip(text.tolist(), item.tolist(), strict=True)) == [(k, k % 3) for k in range(times)]
+    assert all(d <= m for d, m in zip(dist.tolist(), most, strict=True))
+    if n <= 400:
+        assert dist.tolist() == [least_edits(items[k % 3], t) for k, t in enumerate(texts)]
+
+
+def test_items_that_share_grams_are_counted_in_parts(monkeypatch):
+    r = random.Random(5)
+    common = prose(1, 40)
+    items = [common[: 10 + i] + prose(100 + i, 20 - i) for i in range(12)] * 2
+    texts = [prose(200 + i, 20) + edited(r, items[i], 6) + prose(300 + i, 9) for i in range(12)]
+    want = {(t, i): d for t, text in enumerate(texts) for i, item in enumerate(items) if (d := least_edits(item, text)) <= 6}
+    index = decontam.build(list(range(24)), [" ".join(i) for i in items])
+    for words in (decontam.MATCH_WORDS, 40):
+        monkeypatch.setattr(decontam, "MATCH_WORDS", words)
+        text, item, _, _, dist = decontam.search(index, pa.array([" ".join(t) for t in texts]))
+        assert {(t, i): d for t, i, d in zip(text.tolist(), item.tolist(), dist.tolist(), strict=True)} == want
