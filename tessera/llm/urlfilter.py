@@ -10,11 +10,19 @@ from .graph import connected_components
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+# The forms that the SQL counterpart knows; the operator reads tags and their attributes.
 CANONICAL = (
     r"""<link\b[^>]*\brel=["']?canonical["']?[^>]*\bhref=["']?([^"'\s>]+)""",
     r"""<link\b[^>]*\bhref=["']?([^"'\s>]+)["']?[^>]*\brel=["']?canonical\b""",
 )
 REFRESH = r"""<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*\burl=([^"'\s>]+)"""
+#: A tag, in which quoted values may hold >, and its attributes with values.
+TAG = r"""(?i)<(?:link|meta|base)(?=[\s/])(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+ATTRIBUTE = r"""[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+#: What stands before the target of a refresh, and the target, quoted or not.
+TARGET = r"""(?is)^\s*(?:[\d.]*\s*[;,]?\s*\burl\s*=\s*|[\d.]+\s*[;,\s]\s*)(?:"([^"]*)"?.*|'([^']*)'?.*|([^"'].*))$"""
+#: Character references that urls in attributes are written with; & comes last.
+REFERENCES = (("quot|#34|#x22", '"'), ("apos|#39|#x27", "'"), ("lt|#60|#x3c", "<"), ("gt|#62|#x3e", ">"), ("#47|#x2f", "/"), ("#58|#x3a", ":"), ("#61|#x3d", "="), ("amp|#38|#x26", "&"))
 
 
 def _rest(url: Column) -> Column:
@@ -31,10 +39,62 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _no_dots(p: Column) -> Column:
+    """A path without its segments . and .., which leave a slash at its end."""
+    kept = F.aggregate(
+        F.split(p, "/"), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(p.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit("")))
+
+
 def node(url: Column) -> Column:
-    """What names a page in the link graph: the url without its fragment, scheme and host lowered."""
+    """What names a page in the link graph: the url without its fragment, scheme and host lowered, no . or .. in its path."""
     plain = F.regexp_extract(url, r"^([^#]*)", 1)
-    return F.concat(lower_ascii(F.regexp_extract(plain, r"(?s)^(.*?://)", 1)), host(url), F.regexp_extract(_rest(plain), r"(?s)^[^/?#]*(.*)\z", 1))
+    tail = F.regexp_extract(_rest(plain), r"(?s)^[^/?#]*(.*)\z", 1)
+    dotted = F.regexp_extract(tail, r"^([^?]*)", 1)
+    tail = F.when(F.contains(dotted, F.lit("/.")), F.concat(_no_dots(dotted), F.regexp_extract(tail, r"(?s)^[^?]*(.*)\z", 1))).otherwise(tail)
+    return F.concat(lower_ascii(F.regexp_extract(plain, r"(?s)^(.*?://)", 1)), host(url), tail)
+
+
+def resolve(to: Column, base: Column) -> Column:
+    """A link target as a url, seen from the url ``base``; null if it is empty or of a scheme without ://."""
+    to = F.regexp_replace(F.regexp_replace(to, r"^\s+|\s+$", ""), r"[\t\r\n]", "")
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?):", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.concat(site, F.regexp_extract(F.substr(page, F.length(site) + 1), r"(?s)^(.*/)", 1))
+    return (
+        F.when(to == "", None)
+        .when(to.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*)?://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(page, to))
+        .when(F.startswith(to, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), to))
+        .otherwise(F.concat(folder, F.when(F.endswith(folder, F.lit("/")) & (folder != F.concat(scheme, F.lit("://"))), F.lit("")).otherwise(F.lit("/")), to))
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, character references decoded; null without one."""
+    every = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+    one = F.get(F.filter(every, lambda a: a.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    value = F.regexp_replace(F.regexp_extract(one, r"(?s)^[^=]*=\s*(.*)\z", 1), r"""^["']|["']$""", "")
+    for names, char in REFERENCES:
+        value = F.regexp_replace(value, f"(?i)&(?:{names});", char)
+    return value
+
+
+def _tags(html: Column, kind: str) -> Column:
+    return F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(rf"(?i)^<{kind}[\s/]"))
+
+
+def html_targets(html: Column) -> Column:
+    """Targets of a page's canonical links and refreshes, as they are written."""
+    links = F.filter(_tags(html, "link"), lambda t: _attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
+    metas = F.filter(_tags(html, "meta"), lambda t: _attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$"))
+    goal = lambda c: F.concat(*(F.regexp_extract(c, TARGET, k) for k in (1, 2, 3)))
+    return F.concat(F.transform(links, lambda t: _attribute(t, "href")), F.transform(metas, lambda t: goal(_attribute(t, "content"))))
 
 
 def rule_of(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
@@ -50,21 +110,23 @@ def rule_of(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str | None, redirect_col: str | None) -> DataFrame:
-    """Edges ``(u, v)`` between nodes: a page and its canonical link or redirect target."""
-    url, targets = F.col(url_col), []
+    """Edges ``(u, v)`` between nodes: a page and its canonical link or redirect target.
+
+    Relative targets are seen from the page's url, those in its text from its base tag's.
+    """
+    named = {"url": url_col} | ({"html": html_col} if html_col else {}) | ({"hop": redirect_col} if redirect_col else {})
+    e = pages.where(F.col(url_col).contains("://")).select(*(F.col(c).alias(k) for k, c in named.items()))
+    targets = []
     if html_col:
-        head = F.lower(F.col(html_col))
+        head, bases = F.lower("html"), F.filter(F.transform(_tags(F.col("html"), "base"), lambda t: _attribute(t, "href")), lambda x: x.isNotNull())
         has = F.contains(head, F.lit("canonical")) | F.contains(head, F.lit("refresh"))
-        links = [F.regexp_extract_all(F.col(html_col), F.lit("(?i)" + x), F.lit(1)) for x in (*CANONICAL, REFRESH)]
-        targets.append(F.when(has, F.concat(*links)).otherwise(F.array().cast("array<string>")))
+        e = e.withColumn("base", F.when(has & F.contains(head, F.lit("<base")), F.get(bases, F.lit(0))))
+        e = e.withColumn("from", F.coalesce(resolve(F.col("base"), F.col("url")), F.col("url")))
+        targets.append(F.when(has, F.transform(html_targets(F.col("html")), lambda t: resolve(t, F.col("from")))).otherwise(F.array().cast("array<string>")))
     if redirect_col:
-        targets.append(F.array(F.col(redirect_col)))
-    to = F.explode(F.concat(*targets)).alias("to")
-    e = pages.where(url.contains("://")).select(url.alias("url"), to)
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?):", 1)
-    full = F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.startswith("to", F.lit("/")), F.concat(site, F.col("to"))).when(F.col("to").contains("://"), F.col("to"))
-    return e.withColumn("to", full).where("to is not null").select(node(F.col("url")).alias("u"), node(F.col("to")).alias("v"))
+        targets.append(F.array(resolve(F.col("hop"), F.col("url"))))
+    e = e.select("url", F.explode(F.concat(*targets)).alias("to")).where("to is not null")
+    return e.select(node(F.col("url")).alias("u"), node(F.col("to")).alias("v"))
 
 
 def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirect_col: str | None = None, rules=RULES) -> DataFrame:
@@ -73,7 +135,8 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     Pages and link targets that redirects and canonical links join are one component, found
     by distributed label propagation. A url without a rule of its own is allowed if some
     alias has an allow rule, else blocked if some alias has a block rule, else allowed.
-    A url's own rule always wins.
+    A url's own rule always wins. Links are read from tags whatever their attributes' order,
+    quotes and spaces, relative ones resolved; the SQL counterpart knows fewer forms.
 
     Null urls and urls without :// have an empty host and path, no rule and no aliases.
     Repeated rows get a row each.

@@ -121,6 +121,41 @@ def test_url_block_follows_aliases(spark):
     assert urlfilter.judge_urls(_pages(spark, [])).count() == 0
 
 
+LINKS = [
+    ("http://a.org/x/1", '<link rel="canonical" href="page2.html">', "http://a.org/x/page2.html"),
+    ("http://a.org", "<link rel=canonical href=page2.html>", "http://a.org/page2.html"),
+    ("http://a.org/x/y/1?q=/z/#f", '<link href="../es/x" rel="nofollow canonical">', "http://a.org/x/es/x"),
+    ("http://a.org/x/1", '<link rel="canonical" href="../../../.">', "http://a.org/"),
+    ("http://a.org/x/1?p=2#f", '<link rel="canonical" href="?id=3&amp;k=4">', "http://a.org/x/1?id=3&k=4"),
+    ("http://a.org/x/1", "<link rel = 'canonical' title='a > b' href = '/2'>", "http://a.org/2"),
+    ("http://a.org/x/1", '<link data-href="/9" rel="canonical" href="HTTP://B.org/./2#f">', "http://b.org/2"),
+    ("http://a.org/x/1", '<link rel="canonical" href="go?to=http://c.org/">', "http://a.org/x/go?to=http://c.org/"),
+    ("https://a.org/x/1", '<link rel="canonical" href=" //b.org/2 ">', "https://b.org/2"),
+    ("http://a.org/x/1", '<base href="/base/"><link rel="canonical" href="2">', "http://a.org/base/2"),
+    ("http://a.org/x/1", '<META content="0;URL=http://b.org/2" http-equiv="Refresh">', "http://b.org/2"),
+    ("http://a.org/x/1", """<meta http-equiv=refresh content="5; url='http://b.org/2?a=1&amp;b=2'">""", "http://b.org/2?a=1&b=2"),
+    ("http://a.org/x/1", """<meta http-equiv = "refresh" content = '0 ; url = "../2"'>""", "http://a.org/2"),
+    ("http://a.org/x/1", '<meta http-equiv="refresh" content="3; 2.html">', "http://a.org/x/2.html"),
+    ("http://a.org/x/1", '<meta http-equiv="refresh" content="0;url=&quot;/2&quot;">', "http://a.org/2"),
+    ("http://a.org/x/1", '<link rel="canonical" href="mailto:a@b"><link rel="canonical" href=""><meta http-equiv="refresh" content="30"><link rel="icon" href="/2">', None),
+    ("http://a.org/x/1", "<link " + "a=b " * 50_000 + 'rel="canonical" href="/2">', "http://a.org/2"),
+]
+
+
+def test_url_link_forms(spark):
+    pages = _pages(spark, [(u, h) for u, h, _ in LINKS])
+    got = sorted(tuple(r) for r in urlfilter.link_edges(pages, "url", "html", None).collect())
+    assert got == sorted((u.split("#")[0], v) for u, _, v in LINKS if v)
+    hops = spark.createDataFrame([("http://a.org/x/1", "../2"), ("http://a.org/x/1", None), ("http://a.org/x/1", "?a=1&amp;b")], "url string, hop string")
+    assert sorted(r.v for r in urlfilter.link_edges(hops, "url", None, "hop").collect()) == ["http://a.org/2", "http://a.org/x/1?a=1&amp;b"]
+
+
+def test_url_block_follows_relative_links(spark):
+    rows = [("http://a.org/x/1", '<meta content="0; url=\'../es/\'" http-equiv="refresh">'), ("http://a.org/es/", '<link rel="canonical" href="http://b.net/es/?a=1&amp;b=2">'), ("http://b.net/es/?a=1&b=2", None), ("http://a.org/es/2", None)]
+    got = [r.verdict for r in sorted(urlfilter.judge_urls(_pages(spark, rows)).collect(), key=lambda r: r.page_id)]
+    assert got == ["block", "block", "block", "allow"]
+
+
 def _check_mix(rows, out):
     sizes, taken = Counter(), Counter()
     for r in out:
