@@ -119,12 +119,14 @@ class Index:
     grams: dict[int, np.ndarray]
     owners: dict[int, np.ndarray]
     table: np.ndarray
+    #: A number that is no item's id and stands for null.
+    null: int
 
     def has(self, g: np.ndarray) -> np.ndarray:
         return self.table[(g >> _U(20)).astype(np.int64) & (len(self.table) - 1)] & (g != 0)
 
 
-def build(ids: list, texts: list[str | None]) -> Index | None:
+def build(ids: list[int | None], texts: list[str | None]) -> Index | None:
     """Index items; None if none has enough words."""
     h, first = text_words(pa.array(texts, pa.string()))
     by: dict[int, list[int]] = {}
@@ -148,7 +150,9 @@ def build(ids: list, texts: list[str | None]) -> Index | None:
         k = sample_keys(s)
         order = np.argsort(k.ravel(), kind="stable")
         keys[n] = (k.ravel()[order], order // k.shape[1])
-    return Index({n: np.array([ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, table)
+    taken = set(ids)
+    null = next(i for i in range(-(1 << 63), 1 << 63) if i not in taken)
+    return Index({n: np.array([null if ids[k] is None else ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, table, null)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -293,7 +297,7 @@ def _missed(index: Index, h: np.ndarray, g: np.ndarray, own: np.ndarray, first:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int = BLOCK_ITEMS):
     """Indexes of the items, at most about ``block`` in each, so that what is broadcast is bounded."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     n = -(-items.count() // block) or 1
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").toArrow()
@@ -307,8 +311,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     Words are runs of letters and digits, case folded. An item matches a run of words within
     20 edits of words per hundred; items under ten
-    words must match exactly, and items under five match nothing. Null texts and items have
-    no words; repeated rows get a row each; no items or documents give no rows.
+    words must match exactly, and items under five match nothing. Null texts have no
+    words; items with a null id match as others do and have a null ``item_id``; repeated rows
+    get a row each; no items or documents give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, first_word bigint, n_words bigint, distance bigint"
@@ -319,8 +324,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         def run(batches, index=index):
             for batch in batches:
                 for b in chunks(batch, "text", 1 << 20):
-                    text, *rest = search(index.value, b.column("text"))
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(text)), *map(pa.array, rest)], ["doc_id", "item_id", "first_word", "n_words", "distance"])
+                    text, item, *rest = search(index.value, b.column("text"))
+                    item = pa.array(item, mask=item == index.value.null)
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(text)), item, *map(pa.array, rest)], ["doc_id", "item_id", "first_word", "n_words", "distance"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)

@@ -142,3 +142,11 @@ def test_items_that_share_grams_are_counted_in_parts(monkeypatch):
         monkeypatch.setattr(decontam, "MATCH_WORDS", words)
         text, item, _, _, dist = decontam.search(index, pa.array([" ".join(t) for t in texts]))
         assert {(t, i): d for t, i, d in zip(text.tolist(), item.tolist(), dist.tolist(), strict=True)} == want
+
+
+def test_items_without_an_id_contaminate(spark):
+    bench = spark.createDataFrame([(None, "no id here but some words", 0, 0), (-(2**63), "w3 x3 w4 x4 w5 x5 w6 x6", 0, 0)], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(edge_table(spark), bench).collect()}
+    assert got == {(None, None), (6, -(2**63)), (7, -(2**63))}
+    kept = decontam.drop_contaminated(edge_table(spark), bench).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 5, 8, 8] and not any(r.text == "no id here but some words" for r in kept)
