@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
-from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .arrays import chunks
+from .arrays import CHUNK, chunks, mix64, per_text, utf8, word_hashes, words
 from .common import Scratch
 
 MAGIC = b"TSR1"
 #: Ids in a shard, about; a shard ends with the document that passes this.
 SHARD = 1 << 20
-#: Pieces whose ids a worker remembers, in each of two generations.
+#: Pieces whose ids a task remembers, about 30 bytes each.
 REMEMBER = 400_000
 
 # ---- coding ---------------------------------------------------------------------------
@@ -91,58 +91,151 @@ def unpack(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # ---- tokenizing -----------------------------------------------------------------------
 
-# The characters for which the tokenizer's normal form is plain lower case,
-# and its pattern for them. Other texts go to the tokenizer whole.
-_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *(b for b in range(0xC0, 0x100) if b not in (0xD7, 0xF7))])
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+# The parts of a tokenizer's file for which words can be encoded apart.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 
+#: Kinds of bytes: space, letter, digit, other; ODD is a word that is left to the tokenizer.
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 
-class WordCache(dict):
-    """Ids of pieces as bytes. Pieces are encoded on their own, so each needs the tokenizer once.
 
-    When it is full, it becomes the old generation; pieces that are met again move over.
-    """
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.old = tokenizer, {}
+def _kinds() -> np.ndarray:
+    kind = np.full(256, _OTHER, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = _SPACE
+    kind[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3]] = _LETTER
+    kind[48:58] = _DIGIT
+    kind[[*range(9), *range(14, 32), 127, *range(0xC0, 0xC3), *range(0xC4, 256)]] = _ODD
+    return kind
 
-    def learn(self, pieces: set[str]) -> None:
-        """Make sure that all the pieces are there."""
-        if len(self) >= REMEMBER:
-            self.old = dict(self)
-            self.clear()
-        new = []
-        for piece in pieces.difference(self):
-            ids = self.old.get(piece)
-            if ids is None:
-                new.append(piece)
-            else:
-                self[piece] = ids
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(e.ids, "<u4").tobytes()
 
+_KIND = _kinds()
+_BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    return t, WordCache(t)
+def can_split(spec: dict) -> bool:
+    """Whether a tokenizer's file normalizes and splits text as above, so that white space divides it into words with ids of their own."""
+    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") for t in spec["added_tokens"])
+    return plain and spec["normalizer"] == _NORMAL and spec["pre_tokenizer"] == _SPLIT and spec["post_processor"] is None and spec["model"]["type"] == "BPE"
 
 
-def _is_plain(text: str) -> bool:
-    try:
-        return "<|" not in text and not text.encode("latin-1").translate(None, _PLAIN)
-    except UnicodeEncodeError:
-        return False
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and kinds of the pieces of texts, and their bytes with plain words in lower case.
 
+    Words of ASCII and two-byte Latin letters are cut as the tokenizer's pattern cuts them. A
+    word with any other byte, or with what may be a special token, is one piece of kind ODD.
+    """
+    kind = _KIND[data]
+    odd = kind == _ODD
+    # The two signs among the Latin letters; the beginning of a special token.
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 60) & (data[1:] == 124)
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    low[1:][(data[:-1] == 0xC3) & (data[1:] <= 0x9E)] += 32
+    if odd.any():
+        starts, ends, _ = words(data, off)
+        bad = np.add.reduceat(odd, starts) > 0
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[bad]] += 1
+        inside[ends[bad]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        kind[inside] = _ODD
+        low[inside] = data[inside]
+    edge = np.ones(len(data), bool)
+    edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    edge[off[:-1][off[:-1] < len(data)]] = True
+    starts = np.flatnonzero(edge)
+    ends = np.append(starts[1:], len(data))
+    kind = kind[starts]
+    # A single apostrophe takes the endings that the pattern names from the letters after it.
+    at = np.flatnonzero((kind[:-1] == _OTHER) & (ends[:-1] - starts[:-1] == 1) & (low[starts[:-1]] == 39) & (kind[1:] == _LETTER))
+    at = at[~np.isin(starts[at + 1], off)]
+    if len(at):
+        one, two = low[starts[at + 1]], np.where(ends[at + 1] - starts[at + 1] > 1, low[np.minimum(starts[at + 1] + 1, len(low) - 1)], 0)
+        takes = np.select([np.isin(one, list(b"stmd")), np.isin(one.astype(int) << 8 | two, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])], [1, 2], 0)
+        ends[at] += takes
+        starts[at + 1] += takes
+    keep = (kind != _SPACE) & (starts < ends)
+    return starts[keep], ends[keep], kind[keep], low
+
+
+class Encoder:
+    """Token ids of texts. Pieces met before are looked up by a 64-bit hash; a task has one of these and drops it.
+
+    What is remembered is three numbers and the ids of a piece, and is forgotten at ``most`` pieces.
+    """
 
-def encode_texts(texts: list[str], path: str, by_word: bool) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers."""
-    tokenizer, known = _tokenizer(path)
-    pieces = [_PIECE.findall(t.lower()) if by_word and _is_plain(t) else None for t in texts]
-    known.learn(set().union(*(p for p in pieces if p)))
-    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
+    def __init__(self, path: str, most: int = REMEMBER):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            self.by_word = can_split(json.load(f))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.dtype)
+
+    def _learn(self, keys: np.ndarray, raw: list[bytes], odd: np.ndarray) -> None:
+        model = self.tokenizer.model
+        # The model knows a byte that is no ASCII sign by another letter.
+        level = lambda r: r.decode() if r.isascii() else r.decode("latin-1").translate(_BYTE_LEVEL)
+        ids = [None if o else [t.id for t in model.tokenize(level(r))] for r, o in zip(raw, odd.tolist(), strict=True)]
+        left = np.flatnonzero(odd).tolist()
+        for k, e in zip(left, self.tokenizer.encode_batch_fast([raw[k].decode() for k in left], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        size = np.array([len(x) for x in ids], np.int64)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype, int(size.sum()))])
+        to = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+
+    def _run(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, kind, low = pieces(data, off)
+        key = word_hashes(low, starts, ends, lower=False)
+        seen, which = np.unique(key, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._forget()
+        to = np.minimum(np.searchsorted(self.keys, seen), max(len(self.keys) - 1, 0))
+        new = self.keys[to] != seen if len(self.keys) else np.ones(len(seen), bool)
+        if new.any():
+            example = np.empty(len(seen), np.int64)
+            example[which] = np.arange(len(key))
+            e = example[new]
+            self._learn(seen[new], [low[a:z].tobytes() for a, z in zip(starts[e].tolist(), ends[e].tolist(), strict=True)], kind[e] == _ODD)
+        to = np.searchsorted(self.keys, seen)[which]
+        size = self.size[to]
+        out = self.flat[np.repeat(self.at[to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        return out, per_text(size, np.searchsorted(starts, off))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has; nulls are empty."""
+        data, off = utf8(texts)
+        if not self.by_word:
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for r in rows for i in r], self.dtype), np.array([len(r) for r in rows], np.int64)
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(off) - 1, np.int64)
+        if len(data) <= 2 * CHUNK:
+            return self._run(data, off)
+        # Long texts are cut at white space.
+        gaps, cuts = np.flatnonzero(_KIND[data] == _SPACE), [0]
+        while len(data) - cuts[-1] > CHUNK:
+            k = np.searchsorted(gaps, cuts[-1] + CHUNK)
+            if k == len(gaps):
+                break
+            cuts.append(int(gaps[k]))
+        cuts.append(len(data))
+        ids, total = [], np.zeros(len(off) - 1, np.int64)
+        for a, z in pairwise(cuts):
+            i, n = self._run(data[a:z], np.clip(off - a, 0, z - a))
+            ids.append(i)
+            total += n
+        return np.concatenate(ids), total
 
 
 def default_tokenizer() -> str:
@@ -151,55 +244,77 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, by_word: bool = True, end_id: int = 2, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
-    """Encode texts and write shards in ascending order of id; returns the table of files.
-
-    One pass: ids are range-partitioned and sorted with their texts, tokenized and packed
-    where they lie. Each shard ranks ids by their frequency in the shard, so it can be
-    read, written again or moved alone. The table has ``part, block, first_doc, n_docs,
-    n_ids, shard``; (part, block) is the order. The tokenizer's file is a parameter.
+def tokenize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+    """``id, version, salt, n, ids`` of every text, where it lies: ids are two bytes each, or four if the vocabulary needs them.
 
-    ``by_word`` holds for a tokenizer that splits lower-cased text into the pieces above
-    and encodes each on its own. Null texts count as empty and have the end id alone.
-    Null ids come first; rows that repeat an id stay next to each other, by a hash of their text.
+    version is a hash of the text. A tokenizer whose file says that it splits text as
+    described above meets each piece once in a while; any other encodes whole texts.
     """
     path = tokenizer or default_tokenizer()
-    scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{id_col} is {kind}; shards hold whole numbers")
 
+    def run(batches):
+        from pyspark import TaskContext
+
+        encoder, at = Encoder(path), TaskContext.get().partitionId() << 32
+        end = np.array([end_id], encoder.dtype).tobytes()
+        for batch in batches:
+            for b in chunks(batch, "text"):
+                ids, sizes = encoder.encode(b.column("text"))
+                raw, ends = ids.tobytes(), (np.cumsum(sizes) * encoder.dtype.itemsize).tolist()
+                rows = pa.array([raw[a:z] + end for a, z in pairwise([0, *ends])], pa.binary())
+                salt = mix64(np.arange(at, at + b.num_rows, dtype=np.uint64)).view(np.int64)
+                at += b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("version"), pa.array(salt), pa.array(sizes + 1), rows], ["id", "version", "salt", "n", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id bigint, version bigint, salt bigint, n bigint, ids binary")
+
+
+def write_shards(docs: DataFrame, *, shard: int = SHARD, scratch: Scratch | None = None, **kw) -> DataFrame:
+    """Encode texts and write shards in ascending order of id; returns the table of files.
+
+    Texts are tokenized where they lie; what is range-partitioned and sorted is the ids, about
+    half of the texts' bytes. Each shard ranks ids by their frequency in the shard, so it can
+    be read, written again or moved alone. The table has ``part, block, first_doc, n_docs,
+    n_ids, shard``; (part, block) is the order. The tokenizer's file is a parameter.
+
+    Null texts count as empty and have the end id alone. Null ids come first. Rows that
+    repeat an id are in the order of a hash of their text, equal rows in any order: a number
+    of each row lets ranges split an id that very many rows have.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    tokens = scratch.save(tokenize(docs, **kw), "tokens")
+
     def run(batches):
         from pyspark import TaskContext
 
         part, block, ids, sizes, names, n = TaskContext.get().partitionId(), 0, [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def out():
             nonlocal block, ids, sizes, names, n
-            row = pack(names, np.array(sizes), np.frombuffer(b"".join(ids), "<u4"))
+            row = pack(names, np.array(sizes), np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.int32()), pa.array([names[0]], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([n], pa.int64()), pa.array([row], pa.binary())], ["part", "block", "first_doc", "n_docs", "n_ids", "shard"])
             block, ids, sizes, names, n = block + 1, [], [], [], 0
 
-        for batch in batches:
-            for b in chunks(batch, "text"):
-                rows = encode_texts([t or "" for t in b.column("text").to_pylist()], path, by_word)
-                for name, row in zip(b.column("id").to_pylist(), rows, strict=True):
-                    row += end
-                    ids.append(row)
-                    sizes.append(len(row) // 4)
-                    names.append(name)
-                    n += len(row) // 4
-                    if n >= shard:
-                        yield from out()
+        for b in batches:
+            for name, size, row in zip(*(b.column(c).to_pylist() for c in ("id", "n", "ids")), strict=True):
+                ids.append(np.frombuffer(row, f"<u{len(row) // size}"))
+                sizes.append(size)
+                names.append(name)
+                n += size
+                if n >= shard:
+                    yield from out()
         if names:
             yield from out()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    # The text's hash gives rows that repeat an id a fixed order, and lets ranges split an id that very many rows have.
-    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return scratch.save(rows.mapInArrow(run, "part bigint, block int, first_doc bigint, n_docs bigint, n_ids bigint, shard binary"), "shards")
+    order = (F.col("id").asc_nulls_first(), "version", "salt")
+    rows = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "ids")
+    shards = scratch.save(rows.mapInArrow(run, "part bigint, block int, first_doc bigint, n_docs bigint, n_ids bigint, shard binary"), "shards")
+    scratch.drop(tokens)
+    return shards
 
 
 def with_starts(shards: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Token shards and media columns: exact round trips."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -54,11 +55,40 @@ def test_token_query_equals_the_tokenizer(spark):
     assert _got_tokens(QUERIES["op6_token_shards"](spark, SF)) == sorted((s, d, n, c) for d, s, n, c in _want_tokens(docs))
 
 
-def test_pieces_equal_the_whole_text():
-    texts = ["It's 3.5% of  don't we'll\tI'm X'S", "A<|endoftext|>b", "ÀÉß Ünï ÿ×÷", "\U0001f600 中文 ok", "'sss ''t a'", "...!!! --a--b_c", "", "x" * 5000, "İstanbul ſ", "naïve space", "1234567890", "<|startoftext|>"]
-    path = tokenbin.default_tokenizer()
-    tok = Tokenizer.from_file(path)
-    assert tokenbin.encode_texts(texts, path, True) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+def _whole(texts, path=None):
+    tok = Tokenizer.from_file(path or tokenbin.default_tokenizer())
+    return [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def _by_piece(texts, encoder):
+    ids, n = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+ODD_TEXTS = [
+    "It's 3.5% of  don't we'll\tI'm X'S", "A<|endoftext|>b", "ÀÉß Ünï ÿ×÷", "\U0001f600 中文 ok", "'sss ''t a'", "...!!! --a--b_c", "", None, "x" * 5000, "İstanbul ſ", "naïve space", "1234567890",
+    "<|startoftext|>", "a'", "s b'", "'", "ll", "'É's", "\x00a \x7f<|", "<", "|endoftext|>", "<|ENDOFTEXT|> <|endoftext|>", "¹²½ª", "9's 9'ss", "don''t", "it’s", "é ́ x́",
+]
+
+
+def test_pieces_equal_the_whole_text(monkeypatch):
+    encoder = tokenbin.Encoder(tokenbin.default_tokenizer())
+    assert encoder.by_word and _by_piece(ODD_TEXTS, encoder) == _whole(ODD_TEXTS)
+    r = random.Random(1)
+    letters = "aAsStTreEvVlLmMdD'''' \t\n019.,!-<|>éÉ×÷ßÿ€中́"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3000)]
+    want = _whole(texts)
+    assert _by_piece(texts, encoder) == want
+    forgetful = tokenbin.Encoder(tokenbin.default_tokenizer(), most=5)
+    assert [_by_piece(texts[i : i + 100], forgetful) for i in range(0, 3000, 100)] == [want[i : i + 100] for i in range(0, 3000, 100)]
+    monkeypatch.setattr(tokenbin, "CHUNK", 64)
+    assert _by_piece(texts, encoder) == want
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = tokenbin.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    encoder = tokenbin.Encoder(path)
+    assert not encoder.by_word and _by_piece(ODD_TEXTS, encoder) == _whole(ODD_TEXTS, path)
 
 
 def test_token_edges(spark):
