@@ -12,6 +12,8 @@ from .common import Scratch, maybe_broadcast, word_count
 LEVELS = (16, 1024, 65_536)
 #: Expected copies grow with a text's length class up to this class.
 TOP_CLASS = 6
+#: Rows of a table within which equal rows are numbered before their blocks meet.
+BLOCK = 1 << 16
 _HALF = 2.0**-53
 
 
@@ -29,9 +31,33 @@ def _part(q: Column, parts: int = LEVELS[-1]) -> Column:
     return F.floor(F.log(q) * parts).cast("int")
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") * F.lit(2 * _HALF) + F.lit(_HALF)
+def _drawn(rows: DataFrame, seed: str) -> DataFrame:
+    """Add ``weight``, the hash ``draw`` of a row's id, text and number, and the random number ``u`` that it makes."""
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("digest"), F.col("number").cast("string")))
+    u = F.conv(F.substring("draw", 1, 13), 16, 10).cast("double") * F.lit(2 * _HALF) + F.lit(_HALF)
+    return rows.withColumns({"weight": length_weight(F.col("size")), "draw": draw}).withColumn("u", u)
+
+
+def _identified(id_: Column, source: Column, text: Column) -> dict[str, Column]:
+    """What names a row: a hash of its text, and a key that equal rows share."""
+    return {"digest": F.md5(F.coalesce(text, F.lit(""))), "key": F.xxhash64(id_, source, text)}
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Add ``number``: 1, or for rows whose key repeats the place among its rows, whichever comes first.
+
+    Rows of a key are numbered in blocks of the table and then over counts of blocks, so
+    that a key which very many rows share is not one task's work.
+    """
+    if repeated is None:
+        return rows.withColumn("number", F.lit(1).cast("long"))
+    keys = maybe_broadcast(repeated)
+    own = scratch.save(rows.join(keys, "key", "left_semi").withColumn("at", F.monotonically_increasing_id()), "repeats").withColumn("block", F.floor(F.col("at") / BLOCK))
+    blocks = own.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = scratch.save(blocks.select("key", "block", before.alias("before")), "blocks")
+    own = own.join(blocks, ["key", "block"]).withColumn("number", F.col("before") + F.row_number().over(W.partitionBy("key", "block").orderBy("at")))
+    return rows.join(keys, "key", "left_anti").withColumn("number", F.lit(1).cast("long")).unionByName(own.select(*rows.columns, "number"))
 
 
 def ranked_sources(sizes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -71,11 +97,12 @@ def source_targets(sources: DataFrame, share: tuple[int, int], weights: tuple[in
     return weighted.withColumn("target", F.least(F.lit(rate) * F.col("w"), (F.col("source_size") * most).cast("double")))
 
 
-def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: tuple[int, int] = (3, 2), weights: tuple[int, ...] = (3, 1, 2), most: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: tuple[int, int] = (3, 2), weights: tuple[int, ...] = (3, 1, 2), most: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Decide how often the mix takes each document.
 
-    Returns ``(sized, sources)``: the documents' ``id, source, size, weight, u`` and, for
-    each source, its target and the thresholds that settle every document's copies.
+    Returns ``(sized, sources, repeated)``: the documents' ``id, source, size, weight, draw,
+    u``; for each source, its target and the thresholds that settle every document's
+    copies; and the keys of rows that repeat id, source and text, None if there are none.
 
     Within a source a document's expected copies are proportional to the weight of its
     length class, at most ``most``. Whole copies are certain; the fraction is an inclusion
@@ -87,9 +114,14 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = sized.withColumns({"weight": length_weight(F.col("size")), "u": _uniform(F.col("id"), seed)})
-    sized = scratch.save(sized, "sized")
+    named = _identified(F.col(id_col), F.col(source_col), F.col(text_col))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *(c.alias(k) for k, c in named.items()))
+    sized = scratch.save(sized, "rows")
+    repeated = scratch.save(sized.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
+    repeated = repeated if repeated.limit(1).count() else None
+    numbered = _numbered(sized, repeated, scratch)
+    sized = _drawn(numbered, seed).select("id", "source", "size", "weight", "draw", "u")
+    sized = sized if repeated is None else scratch.save(sized, "sized")
     classes = scratch.save(sized.groupBy("source", "weight").agg(F.sum("size").alias("words")), "classes")
     sources = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(scratch.save(ranked_sources(sources, scratch), "sources"), share, weights, most)
@@ -107,7 +139,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     solved = cls.groupBy("source").agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("weight"))).alias("c"))
     solved = scratch.save(targets.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "solved")
 
-    placed = with_copies(sized, solved, most).select("source", "id", "size", "whole", "q", "target")
+    placed = with_copies(sized, solved, most).select("source", "draw", "size", "whole", "q", "target")
     placed = placed.withColumn("part", _part(F.col("q"), LEVELS[0]))
     parts = placed.groupBy("source", "part").agg(
         F.sum(F.when(F.col("q").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target")
@@ -130,17 +162,16 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         cut = scratch.save(finer.where("words > 0 and before < lack and before + words >= lack").select("source", "part", "before", "lack"), "cut")
         placed = placed.withColumn("part", _part(F.col("q"), level))
     near = inside(cut)
-    ranked = near.withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first())))
-    own = F.sum("size").over(W.partitionBy("source", "q", "id"))
-    ranked = ranked.withColumn("start", F.col("upto") - own)
+    ranked = near.withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "draw").rowsBetween(W.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("start", F.col("upto") - F.col("size"))
     taken = ranked.where("start < lack and (upto <= lack or upto - lack < lack - start)")
-    last = taken.groupBy("source").agg(F.max(F.struct("q", "id")).alias("last"))
+    last = taken.groupBy("source").agg(F.max(F.struct("q", "draw")).alias("last"))
     # A source whose cut part yields no row takes all parts before it.
     cuts = cut.select("source", F.col("part").alias("cut_part")).join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     short = full.where("lack > all_words").select(F.col("source").alias("s3"), F.lit(True).alias("take_all"))
     ends = solved.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     ends = ends.join(short, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
-    return sized, scratch.save(ends, "ends")
+    return sized, scratch.save(ends, "ends"), repeated
 
 
 def with_copies(sized: DataFrame, solved: DataFrame, most: int) -> DataFrame:
@@ -161,7 +192,7 @@ def copies(sized: DataFrame, ends: DataFrame, most: int = 2) -> DataFrame:
     below = F.col("q").isNotNull() & (
         F.coalesce(F.col("take_all"), F.lit(False))
         | F.coalesce(part < F.col("cut_part"), F.lit(False))
-        | F.coalesce((part == F.col("cut_part")) & ((F.col("q") < F.col("last.q")) | ((F.col("q") == F.col("last.q")) & (F.col("id").isNull() | F.coalesce(F.col("id") <= F.col("last.id"), F.lit(False))))), F.lit(False))
+        | F.coalesce((part == F.col("cut_part")) & (F.struct("q", "draw") <= F.col("last")), F.lit(False))
     )
     return j.withColumn("copies", F.col("whole") + F.when(below, 1).otherwise(0))
 
@@ -169,22 +200,27 @@ def copies(sized: DataFrame, ends: DataFrame, most: int = 2) -> DataFrame:
 def mix_counts(docs: DataFrame, **kw) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies.
 
-    Null texts have no words; null sources are a source of their own, the last; rows that
-    share an id and a source stand or fall together; an empty table gives no rows.
+    Null texts have no words; null sources are a source of their own, the last. What is drawn
+    follows from id and text, so rows without an id or with a repeated one are drawn each by
+    its text; rows that repeat both are numbered and drawn by number, and any of them may get
+    the copies of any other. Other columns do not matter; an empty table gives no rows.
     """
-    sized, ends = plan_mix(docs, **kw)
+    sized, ends, _ = plan_mix(docs, **kw)
     return copies(sized, ends, kw.get("most", 2)).select("id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mix itself: each document's row as many times as it is taken, columns as they were.
 
-    Texts are read twice but never shuffled: a row's copies follow from its own columns and
-    its source's thresholds.
+    Texts are read twice but not shuffled: a row's copies follow from its own columns and
+    its source's thresholds. Only rows that repeat id, source and text are written once more
+    with a number. Nulls, ties and empty tables are as in ``mix_counts``.
     """
-    _, ends = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
+    _, ends, repeated = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
     row = docs.select(F.struct("*").alias("row"))
-    row = row.withColumns({"id": F.col("row")[id_col], "source": F.col("row")[source_col], "size": word_count(F.col("row")[text_col])})
-    row = row.withColumns({"weight": length_weight(F.col("size")), "u": _uniform(F.col("id"), kw.get("seed", "mix"))})
+    text = F.col("row")[text_col]
+    row = row.withColumns({"id": F.col("row")[id_col], "source": F.col("row")[source_col], "size": word_count(text)})
+    row = row.withColumns(_identified(F.col("id"), F.col("source"), text))
+    row = _drawn(_numbered(row, repeated, Scratch(docs.sparkSession)), kw.get("seed", "mix"))
     out = copies(row, ends, kw.get("most", 2)).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -89,10 +89,11 @@ FROM p LEFT JOIN alias ON p.node = alias.u
 """
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
-x AS (
-  SELECT *, least({TOP_CLASS}, length(bin(size // 8)))::INT AS weight,
-    ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE * {2.0**-52} + {2.0**-53} AS u FROM d),
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+    md5(concat_ws(':', 'mix', doc_id::VARCHAR, md5(coalesce(text, '')), row_number() OVER (PARTITION BY doc_id, source, text))) AS draw
+  FROM documents),
+x AS (SELECT *, least({TOP_CLASS}, length(bin(size // 8)))::INT AS weight, ('0x' || substr(draw, 1, 13))::BIGINT::DOUBLE * {2.0**-52} + {2.0**-53} AS u FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM x GROUP BY source),
 w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
 capped AS (
@@ -113,10 +114,10 @@ p AS (SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM p),
 lack AS (SELECT source, any_value(target) - sum(whole * size)::BIGINT AS lack FROM q GROUP BY source),
 r AS (
-  SELECT q.*, lack, sum(size) OVER (PARTITION BY q.source ORDER BY q, doc_id NULLS FIRST)::BIGINT AS upto, sum(size) OVER (PARTITION BY q.source, q, doc_id)::BIGINT AS own
+  SELECT q.*, lack, sum(size) OVER (PARTITION BY q.source ORDER BY q, draw ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
   FROM q JOIN lack ON q.source IS NOT DISTINCT FROM lack.source WHERE q IS NOT NULL),
-last AS (SELECT source, max((q, doc_id)) AS last FROM r WHERE upto - own < lack AND (upto <= lack OR upto - lack < lack - (upto - own)) GROUP BY source),
-c AS (SELECT q.*, whole + CASE WHEN q IS NOT NULL AND (q, doc_id) <= last THEN 1 ELSE 0 END AS copies FROM q LEFT JOIN last ON q.source IS NOT DISTINCT FROM last.source)
+last AS (SELECT source, max((q, draw)) AS last FROM r WHERE upto - size < lack AND (upto <= lack OR upto - lack < lack - (upto - size)) GROUP BY source),
+c AS (SELECT q.*, whole + CASE WHEN q IS NOT NULL AND (q, draw) <= last THEN 1 ELSE 0 END AS copies FROM q LEFT JOIN last ON q.source IS NOT DISTINCT FROM last.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 

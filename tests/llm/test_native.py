@@ -200,7 +200,8 @@ def test_mix_reaches_targets(spark):
 def test_mix_prefers_by_pareto_order(spark):
     """Of documents with the same probability, those with the least odds are taken."""
     rows = [(i, "a b c d e f g h", "en", ("a", "b")[i % 2], 0) for i in range(200)]
-    sized, ends = mixing.plan_mix(spark.createDataFrame(rows, DOCS))
+    sized, ends, repeated = mixing.plan_mix(spark.createDataFrame(rows, DOCS))
+    assert repeated is None
     for r in mixing.with_copies(sized, ends, 2).where("p > 0").collect():
         assert r.q == pytest.approx(r.u / (1 - r.u) / (r.p / (1 - r.p)))
     out = mixing.copies(sized, ends).where("p > 0").collect()
@@ -209,6 +210,22 @@ def test_mix_prefers_by_pareto_order(spark):
         assert max((r.q for r in own if r.copies > r.whole), default=0) <= min((r.q for r in own if r.copies == r.whole), default=9e9)
 
 
+@pytest.mark.parametrize("kind", ["half without id", "no ids, one length", "equal rows"])
+def test_mix_reaches_targets_without_distinct_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    name = {"half without id": lambda i: i if i % 2 else None, "no ids, one length": lambda i: None, "equal rows": lambda i: 5}[kind]
+    text = {"half without id": lambda i: " ".join(prose(i, 5 + i * 37 % 55)), "equal rows": lambda i: " ".join(prose(i % 4, 9 + 7 * (i % 4)))}.get(kind, lambda i: " ".join(prose(i, 60)))
+    rows = [(name(i), text(i), "en", "abc"[i % 3] if i % 5 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix_counts(df).collect()
+    taken = _check_mix(rows, out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_counts(df.repartition(5)).collect()))
+    again, mixed = Counter(), mixing.mix(df).collect()
+    for r in mixed:
+        again[r.source] += len(words(r.text))
+    assert again == +taken and max(Counter(mixed).values()) <= 2
+
+
 def test_mix_edges(spark):
     out = mixing.mix_counts(edge_table(spark)).collect()
     assert len(out) == len(edge_docs())
