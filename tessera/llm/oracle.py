@@ -12,10 +12,10 @@ c AS (SELECT conv_id, count(*) AS n, list({{'t': turn, 'r': role, 'x': text}} OR
 k AS (
   SELECT a.conv_id, a.n, (SELECT count(*) FROM c e WHERE e.n = a.n AND e.l = a.l) AS copies FROM c a
   WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND b.l[1:a.n] = a.l AND (b.n > a.n OR b.n = a.n AND b.conv_id < a.conv_id)))
-SELECT r.conv_id, CAST(floor(r.turn / {BLOCK}) AS BIGINT) AS part, any_value(k.n) AS n_turns, any_value(k.copies) AS copies,
+SELECT r.conv_id, CAST((pos - 1) // {BLOCK} AS BIGINT) AS part, any_value(k.n) AS n_turns, any_value(k.copies) AS copies,
   length(string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text)) AS n_chars,
   string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-FROM r JOIN k ON r.conv_id = k.conv_id GROUP BY r.conv_id, floor(r.turn / {BLOCK})
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM r) r JOIN k ON r.conv_id = k.conv_id GROUP BY r.conv_id, (pos - 1) // {BLOCK}
 """
 
 

@@ -1,6 +1,7 @@
 """Chat formatting, secret scans, URL filters and mixing."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -44,12 +45,50 @@ def test_chat_keeps_maximal_conversations(spark):
     assert out[7].text == "<|user|>\n<|end|>\n"
 
 
+def _plain_chats(rows):
+    """conv: rows in order, of each conversation that is no prefix of another; by pairs."""
+    last = lambda x: (x is None, x or "")
+    convs = {}
+    for conv, turn, role, text, *_ in set(rows):
+        convs.setdefault(conv, set()).add((-1 if turn is None else turn, role, text))
+    convs = {c: sorted(v, key=lambda r: (r[0], last(r[1]), last(r[2]))) for c, v in convs.items()}
+    return {c: v for c, v in convs.items() if not any(d != c and w[: len(v)] == v and (len(w) > len(v) or d < c) for d, w in convs.items())}
+
+
+def test_chat_snapshots_end_inside_a_turn(spark):
+    rows = [(1, 0, "u", "a"), (2, 0, "u", "a"), (2, 0, "u", "b"), (2, 1, "u", "c"), (3, None, "u", "a"), (4, None, "u", "a"), (4, None, "u", "b")]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], CONV)
+    got = {(r.conv_id, r.n_turns, r.copies, r.text) for r in chat.format_chats(df).collect()}
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    want = con.execute(f"select conv_id, n_turns, copies, text from ({oracle.OP1})").fetchall()
+    assert got == set(want) and {r[0] for r in got} == {2, 4}
+
+
+def test_chat_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    r = random.Random(3)
+    rows = []
+    for conv in range(60):
+        whole = [(k // 2, r.choice(["user", None]), t) for k, t in enumerate(prose(conv % 4, 9))] + [(None, "user", "n")] * (conv % 3)
+        rows += [(conv, *x, 0, 0, 0) for x in whole[: r.randrange(1, len(whole) + 1)]]
+    rows += [(None, None, None, t, 0, 0, 0) for t in prose(99, 50)] + rows[:20]
+    got = {}
+    for x in sorted(chat.format_chats(spark.createDataFrame(rows, CONV)).collect(), key=lambda x: x.part):
+        got[x.conv_id] = got.get(x.conv_id, "") + x.text
+        assert x.text.count("<|end|>") <= 3
+    show = lambda v: "".join(f"<|{role or 'user'}|>\n{text or ''}<|end|>\n" for _, role, text in v)
+    assert got == {c: show(v) for c, v in _plain_chats([x for x in rows if x[0] is not None]).items()} | {None: show([(0, None, t) for t in sorted(set(prose(99, 50)))])}
+
+
 def test_chat_long_conversations_and_empty(spark):
     long = [f"t{i}" for i in range(2 * chat.BLOCK + 5)]
     rows = [*_conv(1, *long), *_conv(2, *long[:-1]), *_conv(3, *long[: chat.BLOCK]), *_conv(4, *long, "x")]
     out = chat.format_chats(spark.createDataFrame(rows, CONV)).collect()
     assert sorted((r.conv_id, r.part) for r in out) == [(4, 0), (4, 1), (4, 2)]
-    assert "".join(r.text for r in sorted(out, key=lambda r: r.part)).count("<|end|>") == len(long) + 1
+    text = "".join(r.text for r in sorted(out, key=lambda r: r.part))
+    assert text == "".join(f"<|{'user' if i % 2 == 0 else 'assistant'}|>\n{t}<|end|>\n" for i, t in enumerate([*long, "x"]))
     assert chat.format_chats(spark.createDataFrame([], CONV)).count() == 0
 
 
