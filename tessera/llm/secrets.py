@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +20,56 @@ KINDS = ("assign", "access", "hex", "live")
 _SPAN = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, least: Column | None = None) -> Column:
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), which is computed once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _grouped(items: Column) -> Column:
+    """A non-empty array cut into about as many groups as each has items, so that what grows with the square of a group's size stays small."""
+
+    def cut(items: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(items))).cast("int")
+        return _once(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / w).cast("int") - 1), lambda k: F.slice(items, k * w + 1, w)))
+
+    return _once(items, cut)
+
+
+def _begins(lengths: Column) -> Column:
+    """Where each match begins, given the lengths of the gap before it and of the match: sums by group, then within each."""
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    both = lambda p: p["gap"] + p["hit"]
+
+    def heads(groups: Column) -> Column:
+        total = lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda acc, p: acc + both(p))
+        return F.aggregate(groups, start(F.lit(0).cast("bigint")), lambda acc, g: F.struct((acc["at"] + total(g)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def inside(group: Column, head: Column) -> Column:
+        step = lambda acc, p: F.struct((acc["at"] + both(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + p["gap"])).alias("out"))
+        return F.aggregate(group, start(head), step, lambda acc: acc["out"])
+
+    return _once(_grouped(lengths), lambda groups: F.flatten(F.zip_with(groups, heads(groups), inside)))
+
+
+def _spans(text: Column, kind: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches with code-point offsets.
 
     The text between matches and the matches alternate, so running lengths give offsets.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("gap"))
+    pair = lambda g, h: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(h).cast("bigint").alias("hit"))
+    span = lambda h, at: F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(h)).alias("stop"), h.alias("value"))
+    scanned = _once(found, lambda f: F.zip_with(f["hit"], _begins(F.zip_with(F.slice(f["gap"], 1, F.size(f["hit"])), f["hit"], pair)), span))
+    return F.when(F.regexp_like(text, F.lit(pattern)), scanned).otherwise(F.array().cast(_SPAN))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("stop"), p["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(p["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    scanned = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), scanned).otherwise(F.array().cast(_SPAN))
+def _apart(blobs: Column, assigns: Column) -> Column:
+    """Blobs that no assignment overlaps; assignments are looked through by groups."""
+    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+    first, last = lambda g: F.get(g, F.lit(0)), lambda g: F.element_at(g, -1)
+    range_of = lambda g: F.struct(first(g)["start"].alias("start"), last(g)["stop"].alias("stop"), g.alias("items"))
+    apart = _once(F.transform(_grouped(assigns), range_of), lambda groups: F.filter(blobs, lambda b: ~F.exists(groups, lambda g: meets(g, b) & F.exists(g["items"], lambda a: meets(a, b)))))
+    return F.when((F.size(assigns) > 0) & (F.size(blobs) > 0), apart).otherwise(blobs)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -75,9 +110,11 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), F.coalesce(owner.cast("string"), F.lit("\0")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("\0")).alias("repo"),
         *(c.alias(k) for k, c in base_spans(text).items()), _spans(text, "live", BLOB).alias("blob"),
     )
-    base = F.concat("assign", "access", "hex")
-    blob = F.filter("blob", lambda s: F.regexp_like(s["value"], F.lit("[0-9]")) & F.regexp_like(s["value"], F.lit("[a-z]")) & F.regexp_like(s["value"], F.lit("[A-Z]")) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    found = scratch.save(found.withColumn("base", base).withColumn("blob", blob), "spans")
+    # Access keys and hex runs are made of base64 letters, so a run that meets one holds it whole.
+    like = lambda s, p: F.regexp_like(s["value"], F.lit(p))
+    mixed = F.filter("blob", lambda s: like(s, "[0-9]") & like(s, "[a-z]") & like(s, "[A-Z]") & ~like(s, ACCESS) & ~like(s, HEX))
+    found = found.withColumns({"base": F.concat("assign", "access", "hex"), "blob": mixed}).withColumn("blob", _apart(F.col("blob"), F.col("assign")))
+    found = scratch.save(found, "spans")
 
     # The value alone identifies a secret; an assignment's is its second group.
     hashed = lambda s: F.md5(F.when(s["kind"] == "assign", F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))

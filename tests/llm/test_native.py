@@ -117,6 +117,16 @@ def test_secret_base_spans(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
 
 
+def test_secret_many_matches(spark):
+    """Time does not grow with the square of the matches in a text."""
+    blob = "Zx9" + "qW3eR5tY" * 4
+    text = f"token=abcdef9 {blob} \U0001f600 {'0a' * 12}\n" * 40_000
+    (r,) = secrets.secret_report(spark.createDataFrame([(1, text, "en", "a", 0)], DOCS)).collect()
+    want = _base(text)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, _, z, k in want).encode()).hexdigest()
+    assert (r.n_assign, r.n_hex, r.n_live) == (40_000, 40_000, 40_000)
+
+
 def test_secret_ownership(spark):
     live, example = "Zx9" + "qW3eR5tY" * 4, "Ab1" + "cD2eF3gH" * 4
     rows = [(1, f"use {live} now", "en", "a", 0), (2, f"see {example}", "en", "a", 0), (3, f"see {example}", "en", "b", 0), (4, f"again {live}", "en", "a", 0), (4, f"again {live}", "en", "a", 0)]
