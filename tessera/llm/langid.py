@@ -17,7 +17,7 @@ from .common import held_out
 PER_LANG = 4_000
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Bytes of log probabilities that may be broadcast; with very many languages there are fewer buckets.
+#: Bytes of log probabilities that may be broadcast: 1,024 languages. A table with more is refused.
 MOST_BYTES = 128 << 20
 UNKNOWN = "und"
 
@@ -78,20 +78,22 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     The prior comes from all of them, the counts from about ``per_lang`` of each language,
     picked by a hash of the id. What reaches the driver is a count for each language and
-    bucket, which is the size of the model.
+    bucket, which is the size of the model. ValueError if that passes MOST_BYTES: so many
+    values of a language column are no languages.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    share = {r.lang: r.n for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = MOST_BYTES // (4 * buckets)
+    share = {r.lang: r.n for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(share) > most:
+        raise ValueError(f"{lang_col} has more than {most} values")
     langs = sorted(share)
-    while len(langs) * buckets * 4 > MOST_BYTES and buckets > 1 << 10:
-        buckets >>= 1
     if not langs:
         return NaiveBayes([], np.zeros(0), np.zeros((buckets, 0), np.float32))
     rate = spark.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in share.items()], "lang string, rate double")
     unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit.alias("unit")).join(F.broadcast(rate), "lang").where("unit < rate")
-    sample = sample.select("lang", "text").repartition(8)
+    sample = sample.select("lang", "text")
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}

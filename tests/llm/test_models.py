@@ -108,6 +108,27 @@ def test_naive_bayes_equals_plain_counts(spark):
         assert name == model.langs[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)
 
 
+def test_ngrams_equal_plain_ones():
+    """Each run of one to three characters counts once, letters in lower case and all else as a space, in its own bucket."""
+    bucket = lambda g: int(langid.ngrams([g], langid.BUCKETS)[0][-1])
+    texts = ["Aab b!", "", None, "Ünï  ÇÖDÉ 中文 \U0001f600x", "a", "zz9 zz"]
+    got, owner, lettered = langid.ngrams(texts, langid.BUCKETS)
+    for i, t in enumerate(texts):
+        low = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        want = Counter(bucket(low[a : a + n]) for n in (1, 2, 3) for a in range(len(low) - n + 1))
+        assert Counter(got[owner == i].tolist()) == want and lettered[i] == any(c.isalpha() for c in low)
+    assert len({bucket(g) for g in ("ab", "ba", "a", "aa", "aaa", "a b", " ab")}) == 7
+
+
+def test_language_ties_and_too_many(spark, monkeypatch):
+    rows = [(i, "same words", lang, "s", 0) for i in range(40) for lang in ("y", "x")]
+    out = langid.identify(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.lang_pred for r in out} == {"x"} and all(r.score == pytest.approx(0.5) for r in out)
+    monkeypatch.setattr(langid, "MOST_BYTES", 4 * langid.BUCKETS)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows, DOCS))
+
+
 def test_language_edges(spark):
     out = langid.identify(edge_table(spark)).collect()
     assert Counter(r.id for r in out) == Counter(r[0] for r in edge_docs())
