@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,14 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, mix64, utf8, word_hashes, words
 
-#: Edits allowed per hundred words of an item; items below SHORT words allow none, below LEAST they name no passage.
-EDITS_PERCENT, SHORT, LEAST = 20, 10, 5
-#: Random walks, bit samples for each walk, and positions in a sample. What shares none of their keys, as long items with many edits often do, is found by grams.
+#: Edits allowed per hundred words of an item; items below SHORT words allow none.
+EDITS_PERCENT, SHORT = 20, 10
+#: Random walks, the most bit samples for each walk, and positions in a sample.
 WALKS, SAMPLES, POSITIONS = 4, 16, 3
-#: Items in one pass over the documents; more items take more passes.
-BLOCK_ITEMS = 20_000
+#: Share of passages with the most edits that keys should find; the others are found by grams.
+TARGET_RECALL = 0.95
+#: Items and bytes of their texts in one pass over the documents; more take more passes.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 #: Words of windows that are embedded at a time, and shared grams of single items that are counted at a time, so that memory does not grow with the items' length or number.
 MATCH_WORDS = 1 << 18
 GRAM = 3
@@ -44,12 +47,12 @@ def edits(n: int) -> int:
     return n * EDITS_PERCENT // 100 if n >= SHORT else 0
 
 
-def grams(h: np.ndarray) -> np.ndarray:
-    """A hash at every position of the GRAM words from there, 0 where there are fewer."""
+def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash at every position of the words from there, 0 where there are fewer than size."""
     out = np.zeros(len(h), _U)
-    n = len(h) - GRAM + 1
+    n = len(h) - size + 1
     if n > 0:
-        out[:n] = mix64(sum(mix64(h[k : k + n] + _U(k + 1)) * _U(2 * k + 1) for k in range(GRAM)))
+        out[:n] = mix64(sum(mix64(h[k : k + n] + _U(k + 1)) * _U(2 * k + 1) for k in range(size)))
     return out
 
 
@@ -73,14 +76,39 @@ def embed(x: np.ndarray, walk: int) -> np.ndarray:
     return out
 
 
-def sample_keys(x: np.ndarray) -> np.ndarray:
-    """A key for each row, walk and sample of positions; shape (rows, WALKS * SAMPLES)."""
+@cache
+def samples_for(n: int, target_recall: float) -> int:
+    """Samples of each walk for which keys find so many of the passages with the most edits.
+
+    The agreement of embeddings is measured on random strings about as long, their edited
+    copies shifted as far as windows lie from a passage. SAMPLES at most: for long items
+    with many edits that falls short of the target, and grams find more.
+    """
+    n = min(1 << (n - 1).bit_length(), 1 << 12)
+    k, rng = edits(n), np.random.default_rng(n)
+    if not k:
+        return 1
+    a, b = rng.integers(1, 1 << 60, (16, n), dtype=_U), np.zeros((16, n), _U)
+    for row, out in zip(a, b, strict=True):
+        edited = []
+        for w, kind in zip(row, rng.permutation(np.concatenate([rng.integers(1, 4, k), np.zeros(n - k, np.int64)])), strict=True):
+            # 1 replaces a word, 2 puts another before it, 3 leaves it out.
+            edited += [rng.integers(1, 1 << 60, dtype=_U)] * (kind in (1, 2)) + [w] * (kind in (0, 2))
+        edited = edited[k // 4 :][:n]
+        out[: len(edited)] = edited
+    agree = np.stack([(embed(a, w) == embed(b, w)).mean(1) for w in range(WALKS)])
+    miss = np.prod(1 - agree**POSITIONS, axis=0)
+    return next((s for s in range(1, SAMPLES) if (miss**s).mean() <= 1 - target_recall), SAMPLES)
+
+
+def sample_keys(x: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """A key for each row, walk and sample of positions; shape (rows, WALKS * samples)."""
     n = x.shape[1]
     keys = []
     for walk in range(WALKS):
         y = embed(x, walk)
         rng = np.random.default_rng((n, walk))
-        for s in range(SAMPLES):
+        for s in range(samples):
             h = np.full(len(x), walk * SAMPLES + s + 1, _U)
             for p in rng.integers(0, 2 * n, POSITIONS):
                 h = mix64(h * _U(0xD6E8FEB86659FD93) ^ y[:, p])
@@ -111,13 +139,16 @@ def edit_distances(items: np.ndarray, texts: np.ndarray, lead: np.ndarray) -> tu
 
 @dataclass
 class Index:
-    """The items of a block, by their number of words."""
+    """The items of a block, by their number of words; those with fewer words than a gram have no keys."""
 
     ids: dict[int, np.ndarray]
     strings: dict[int, np.ndarray]
     keys: dict[int, tuple[np.ndarray, np.ndarray]]
     grams: dict[int, np.ndarray]
     owners: dict[int, np.ndarray]
+    samples: dict[int, int]
+    #: Hashes of items of fewer words than a gram, in order, and their rows.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
     table: np.ndarray
     #: A number that is no item's id and stands for null.
     null: int
@@ -126,33 +157,39 @@ class Index:
         return self.table[(g >> _U(20)).astype(np.int64) & (len(self.table) - 1)] & (g != 0)
 
 
-def build(ids: list[int | None], texts: list[str | None]) -> Index | None:
-    """Index items; None if none has enough words."""
+def build(ids: list[int | None], texts: list[str | None], target_recall: float = TARGET_RECALL) -> Index | None:
+    """Index items; None if none has a word."""
     h, first = text_words(pa.array(texts, pa.string()))
     by: dict[int, list[int]] = {}
     for k, n in enumerate(np.diff(first).tolist()):
-        if n >= LEAST:
+        if n:
             by.setdefault(n, []).append(k)
     if not by:
         return None
     strings = {n: np.stack([h[first[k] : first[k + 1]] for k in ks]) for n, ks in by.items()}
-    own, owners = {}, {}
+    own, owners, short = {}, {}, {}
     for n, s in strings.items():
+        if n < GRAM:
+            g = grams(s.ravel(), n)[::n]
+            order = np.argsort(g, kind="stable")
+            short[n] = g[order], order
+            continue
         own[n], which = np.unique(np.concatenate([grams(row)[: n - GRAM + 1] for row in s]), return_inverse=True)
         # Each gram's items, as gram * items + item.
         owners[n] = np.unique(which * len(s) + np.repeat(np.arange(len(s)), n - GRAM + 1))
-    g = np.concatenate(list(own.values()))
+    g = np.concatenate([np.zeros(0, _U), *own.values()])
     size = max(1 << 16, 1 << int(64 * len(g) - 1).bit_length())
     table = np.zeros(size, bool)
     table[(g >> _U(20)).astype(np.int64) & (size - 1)] = True
-    keys = {}
-    for n, s in strings.items():
-        k = sample_keys(s)
+    keys, samples = {}, {}
+    for n in own:
+        samples[n] = samples_for(n, target_recall)
+        k = sample_keys(strings[n], samples[n])
         order = np.argsort(k.ravel(), kind="stable")
         keys[n] = (k.ravel()[order], order // k.shape[1])
     taken = set(ids)
     null = next(i for i in range(-(1 << 63), 1 << 63) if i not in taken)
-    return Index({n: np.array([null if ids[k] is None else ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, table, null)
+    return Index({n: np.array([null if ids[k] is None else ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, samples, short, table, null)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -187,6 +224,15 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     g = grams(h)
     hit = np.flatnonzero(index.has(g) & (np.arange(len(h)) + GRAM <= end))
     found = []
+    for n, (known, rows) in index.short.items():
+        at = np.flatnonzero(np.arange(len(h)) + n <= end)
+        own = grams(h, n)[at]
+        low = np.searchsorted(known, own)
+        count = np.searchsorted(known, own, side="right") - low
+        at, item = np.repeat(at, count), rows[_ranges(low, count)]
+        same = (h[at[:, None] + np.arange(n)] == index.strings[n][item]).all(1)
+        at, item = at[same], item[same]
+        found.append((at, index.ids[n][item], np.full(len(at), n), np.zeros(len(at), np.int64)))
     for n, known in index.grams.items() if len(hit) else ():
         k = edits(n)
         step = max(1, k // 2)
@@ -224,7 +270,7 @@ def _match(index: Index, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end:
     k = edits(n)
     keys, owner = index.keys[n]
     cols = at[:, None] + np.arange(n)
-    mine = sample_keys(np.where(cols < end[at][:, None], h[np.minimum(cols, len(h) - 1)], _U(0)))
+    mine = sample_keys(np.where(cols < end[at][:, None], h[np.minimum(cols, len(h) - 1)], _U(0)), index.samples[n])
     lo, hi = np.searchsorted(keys, mine.ravel()), np.searchsorted(keys, mine.ravel(), side="right")
     count = hi - lo
     row = np.repeat(np.arange(len(count)) // mine.shape[1], count)
@@ -296,9 +342,10 @@ def _missed(index: Index, h: np.ndarray, g: np.ndarray, own: np.ndarray, first:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int = BLOCK_ITEMS):
-    """Indexes of the items, at most about ``block`` in each, so that what is broadcast is bounded."""
+    """Indexes of the items, at most about ``block`` items and BLOCK_BYTES of text in each, so that what is broadcast is bounded."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    n = -(-items.count() // block) or 1
+    all_ = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    n = max(-(-all_.n // block), -(-all_.size // BLOCK_BYTES), 1)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").toArrow()
         index = build(rows.column("id").to_pylist(), rows.column("text").to_pylist())
@@ -310,10 +357,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """``doc_id, item_id, first_word, n_words, distance``: the best window of each document and item that match.
 
     Words are runs of letters and digits, case folded. An item matches a run of words within
-    20 edits of words per hundred; items under ten
-    words must match exactly, and items under five match nothing. Null texts have no
-    words; items with a null id match as others do and have a null ``item_id``; repeated rows
-    get a row each; no items or documents give no rows.
+    20 edits of words per hundred; items under ten words must match exactly. Null and wordless
+    texts match nothing; items with a null id match as others do and have a null ``item_id``;
+    repeated documents get a row each, items that repeat an id one for all. Of equal
+    distances the first place is given; it follows from text and item alone, whatever
+    other texts lie beside it. No items or documents give no rows. Each block of items is a
+    pass over the documents.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, first_word bigint, n_words bigint, distance bigint"
@@ -334,7 +383,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents without such a passage, columns as they were; texts stay where they lie."""
+    """The documents without such a passage, columns as they were; texts stay where they lie.
+
+    Nulls, short items, repeated rows and empty tables are as in ``contaminated``. All
+    blocks of items are passed in one scan.
+    """
     for index in item_blocks(benchmark, item_col, item_text_col, block):
 
         def run(batches, index=index):
