@@ -28,13 +28,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         at_u = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         told = both.join(at_v.hint("merge"), "v").join(at_u.hint("merge"), "u").where("lv < lu")
         told = told.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("lv").alias("label")), F.struct(F.col("lu").alias("node"), F.col("lv").alias("label")))).alias("m")).select("m.*")
+        told = scratch.save(told.groupBy("node").agg(F.min("label").alias("label")), "told")
+        # Where no edge joins two labels, every component has the one of its least node.
+        if not told.limit(1).count():
+            scratch.drop(both, told)
+            return labels
         hooked = scratch.save(labels.union(told).groupBy("node").agg(F.min("label").alias("label")), "labels")
         root = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = hooked.join(root.hint("merge"), "label").select("node", F.col("root").alias("label"))
-        new = scratch.save(jumped, "labels")
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        scratch.drop(labels, hooked)
+        new = scratch.save(hooked.join(root.hint("merge"), "label").select("node", F.col("root").alias("label")), "labels")
+        scratch.drop(labels, hooked, told)
         labels = new
-        if not moved:
-            scratch.drop(both)
-            return labels

@@ -19,8 +19,10 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 5
 #: Signature hashes compared at a time, and the posterior probability of a link below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
-#: Members of a bucket in a block, and bytes of their sets; blocks of large buckets are compared in pairs.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Members of a bucket in a block at least, and how a block grows with the root of the bucket's size: m members make about m^1.5 / GROW rows of blocks that meet in pairs.
+BLOCK, GROW = 256, 8
+#: Bytes of sets in a block, at least and at most.
+BLOCK_BYTES, MOST_BYTES = 4 << 20, 32 << 20
 _U = np.uint64
 
 # ---- sets and signatures --------------------------------------------------------------
@@ -80,7 +82,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, digest, sig, bands`` of every document; digest and signature are null for an empty set."""
+    """``id, version, n_shingles, digest, sig, bands`` of every document; digest and signature are null for an empty set. version is a hash of the text."""
 
     def run(batches):
         for batch in batches:
@@ -88,13 +90,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = shingle_sets(b.column("text"))
                 sigs = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    b.column("id"), b.column("version"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()), pa.array([None if s is None else band_keys(s) for s in sigs], pa.list_(pa.int64())),
-                ], ["id", "n_shingles", "digest", "sig", "bands"])
+                ], ["id", "version", "n_shingles", "digest", "sig", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, version bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
 
 
 # ---- Bayesian pruning -----------------------------------------------------------------
@@ -155,32 +157,35 @@ def _with_sigs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return j.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT).select("u", "v", "n_u", "n_v", "sig_u", "sig_v")
 
 
-def set_table(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 1_000_000) -> DataFrame:
-    """``id, shingles``: the full sets of the documents with these distinct ids.
+def set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``id, shingles``: the full sets of the classes with these distinct numbers, each from the text of its first document.
 
-    A list of ids up to ``most_broadcast`` goes to the scans, a longer one is joined by a shuffle.
+    A list up to ``most_broadcast`` goes to the scans, a longer one is joined by a shuffle.
     """
-    ids = scratch.save(ids, "ids")
-    if ids.limit(most_broadcast + 1).count() <= most_broadcast:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    names = classes.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("first.id").alias("doc"), F.col("first.version").alias("version"), "digest")
+    names = scratch.save(names, "ids")
+    if names.limit(most_broadcast + 1).count() <= most_broadcast:
+        names = F.broadcast(names)
+    rows = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_version"), F.col(text_col).alias("text"))
+    rows = rows.join(names, (F.col("row_version") == F.col("version")) & F.col("row_id").eqNullSafe(F.col("doc"))).select("id", "digest", "text")
 
     def sets(batches):
         for batch in batches:
             for b in chunks(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(b.column("text"))], pa.binary())], ["id", "shingles"])
+                own = shingle_sets(b.column("text"))
+                keep = [k for k, (s, d) in enumerate(zip(own, b.column("digest").to_pylist(), strict=True)) if _digest(s) == d]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep, pa.int64())), pa.array([own[k].astype("<u8").tobytes() for k in keep], pa.binary())], ["id", "shingles"])
 
-    full = rows.mapInArrow(sets, f"id {docs.schema[id_col].dataType.simpleString()}, shingles binary")
-    return scratch.save(full.dropDuplicates(["id"]), "sets")
+    return scratch.save(rows.mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """Pairs whose full shingle sets are similar enough: ``(u, v)``.
 
     Near copies are about as long as each other, so sending a set along with each pair of a
     hub and a member costs as much as the members' own sets do.
     """
-    full = set_table(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, id_col, text_col, scratch)
+    full = set_table(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), classes, docs, id_col, text_col, scratch)
 
     def run(batches):
         for b in batches:
@@ -203,9 +208,15 @@ def _similar(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_groups(members: DataFrame, extra: list[str]) -> DataFrame:
-    """Deal each bucket's members into blocks of about BLOCK rows or BLOCK_BYTES; every two blocks meet in one place (key, p, q), sorted."""
+    """Deal each bucket's members into blocks; every two blocks meet in one place (key, p, q), sorted.
+
+    Each member has a row for every block of its bucket. Blocks grow with the root of the
+    bucket's size, so that rows grow with its power 1.5 and not with its square.
+    """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    m = members.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", own)
+    size, room = F.col("size"), F.col("bytes") / BLOCK_BYTES
+    blocks = F.greatest(F.least(size / BLOCK, F.sqrt(size) / GROW), F.least(room, F.sqrt(room)), F.col("bytes") / MOST_BYTES, F.lit(1))
+    m = members.withColumn("blocks", F.ceil(blocks).cast("int")).withColumn("own", own)
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "n", "sig", *extra)
     return m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
@@ -269,8 +280,7 @@ def likely_members(members: DataFrame) -> DataFrame:
             hit[js] = True
         return np.full(hit.sum(), g.column("key")[0].as_py()), id_[hit]
 
-    kind = members.schema["id"].dataType.simpleString()
-    return _block_groups(members, []).mapInArrow(lambda b: _in_groups(b, work, ["key", "id"]), f"key bigint, id {kind}").distinct()
+    return _block_groups(members, []).mapInArrow(lambda b: _in_groups(b, work, ["key", "id"]), "key bigint, id bigint").distinct()
 
 
 def cross_links(members: DataFrame) -> DataFrame:
@@ -296,16 +306,13 @@ def cross_links(members: DataFrame) -> DataFrame:
                         vs.append(id_[j])
         return np.array(us, id_.dtype), np.array(vs, id_.dtype)
 
-    kind = members.schema["id"].dataType.simpleString()
-    return _block_groups(members, ["shingles"]).mapInArrow(lambda b: _in_groups(b, work, ["u", "v"]), f"u {kind}, v {kind}").distinct()
-
-
+    return _block_groups(members, ["shingles"]).mapInArrow(lambda b: _in_groups(b, work, ["u", "v"]), "u bigint, v bigint").distinct()
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id, kept`` for every document.
+    """``id, version, n_shingles, component_id, kept, chosen`` for every document.
 
-    1. One pass makes signatures; documents of equal sets form classes, whose least id
-       stands for them from here on.
-    2. A bucket's least member is paired with the others. Signatures are compared batch by
+    1. One pass makes signatures; documents of equal sets form classes, which are numbered
+       and stand for them from here on.
+    2. A bucket's first member is paired with the others. Signatures are compared batch by
        batch; a pair goes when the posterior probability of a link falls below MISS. The
        rest is verified on full sets, and links make components.
     3. Where a bucket's members are still in different components, they are compared in
@@ -313,53 +320,74 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        that, each candidate pair has been judged or lies within one component, where it
        could change nothing. Large groups cost comparisons in numpy, but no row for a pair.
 
-    Null and wordless texts have no set, no links and are their own component. Rows that
-    repeat an id must repeat the text; each gets a row. Rows with a null id stand alone with
-    a null component and are kept. Other columns of ``docs`` do not matter.
+    A component is named by its least id, null if none of its rows has one; ``kept`` is
+    whether a row has that id. ``chosen`` is true for the text of that name alone: of
+    texts that share it, the one with the least version (a hash of the text); rows that
+    repeat both are chosen alike. Null and wordless texts have no set, no links and are
+    their own component, kept and chosen. Other columns of ``docs`` do not matter; an
+    empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     sketches = scratch.save(sketch(docs, id_col, text_col), "sketches")
-    real = sketches.where("digest is not null and id is not null")
-    classes = scratch.save(real.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = sketches.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = scratch.save(reps.select("id", "n_shingles", "sig", "bands"), "reps")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version")).alias("first")
+    classes = sketches.where("digest is not null").groupBy("digest").agg(first, *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
+    # Written once, so that the numbers stay.
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    keyed = reps.select(F.posexplode("bands").alias("band", "key"), "id")
+    keyed = classes.select(F.posexplode("bands").alias("band", "key"), "id")
     buckets = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1"), "buckets")
     members = scratch.save(keyed.join(buckets.hint("merge"), "key").select("key", "band", "id", "size", "hub"), "members")
 
     star = members.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    hopeful = scratch.save(prune(_with_sigs(star, reps)), "hopeful")
-    links = verify(hopeful, docs, id_col, text_col, scratch)
+    hopeful = scratch.save(prune(_with_sigs(star, classes)), "hopeful")
+    links = verify(hopeful, classes, docs, id_col, text_col, scratch)
     comps = connected_components(links, scratch)
 
     at = comps.select(F.col("node").alias("id"), F.col("label").alias("comp"))
     open_ = scratch.save(members.join(at.hint("merge"), "id", "left").select("key", "band", "id", "size", F.coalesce("comp", "id").alias("comp")), "open")
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = open_.join(scratch.save(mixed, "mixed").hint("merge"), "key", "left_semi")
-    rest = rest.join(reps.select("id", F.col("n_shingles").alias("n"), "sig").hint("merge"), "id")
+    rest = rest.join(classes.select("id", F.col("n_shingles").alias("n"), "sig").hint("merge"), "id")
     hopeful = scratch.save(likely_members(rest.withColumn("bytes", F.lit(0))), "likely")
     if hopeful.limit(1).count():
-        sets = set_table(hopeful.select("id").distinct(), docs, id_col, text_col, scratch)
-        rest = open_.drop("size").join(hopeful.hint("merge"), ["key", "id"]).join(reps.select("id", F.col("n_shingles").alias("n"), "sig").hint("merge"), "id")
+        sets = set_table(hopeful.select("id").distinct(), classes, docs, id_col, text_col, scratch)
+        rest = open_.drop("size").join(hopeful.hint("merge"), ["key", "id"]).join(classes.select("id", F.col("n_shingles").alias("n"), "sig").hint("merge"), "id")
         rest = scratch.save(rest, "rest")
         sizes = scratch.save(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.sum("n") * 8).alias("bytes")), "sizes")
         rest = rest.join(sizes.hint("merge"), "key").join(sets.hint("merge"), "id")
         links = links.union(scratch.save(cross_links(rest), "crossed", arrow_rows=256))
         comps = connected_components(links, scratch)
 
-    named = comps.withColumnsRenamed({"node": "rep", "label": "component"})
-    classes = scratch.save(classes.join(named, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")), "named")
-    out = sketches.select("id", "n_shingles", "digest").join(classes.hint("merge"), (F.col("digest") == F.col("d")) & F.col("id").isNotNull(), "left")
-    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    # Components are named by their members' first documents; a class alone by its own.
+    linked = scratch.save(comps.join(classes.select(F.col("id").alias("node"), "first").hint("merge"), "node"), "linked")
+    names = scratch.save(linked.groupBy("label").agg(F.min("first").alias("name")), "names")
+    named = scratch.save(linked.join(names.hint("merge"), "label").select(F.col("node").alias("id"), "name"), "named")
+    classes = scratch.save(classes.join(named.hint("merge"), "id", "left").select(F.col("digest").alias("d"), F.coalesce("name", "first").alias("name")), "named")
+    out = sketches.select("id", "version", "n_shingles", "digest").join(classes.hint("merge"), F.col("digest") == F.col("d"), "left")
+    own = F.col("digest").isNull()
+    out = out.withColumn("component_id", F.when(own, F.col("id")).otherwise(F.col("name.id")))
+    chosen = own | (F.col("id").eqNullSafe(F.col("name.id")) & (F.col("version") == F.col("name.version")))
+    return out.select("id", "version", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), chosen.alias("chosen"), own.alias("wordless"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """The documents that stay, columns as they were: one of each component, every wordless one."""
+    """The documents that stay, columns as they were: one row of each component, and every wordless one.
+
+    Rows that repeat an id and a text count as copies: one of them stays, whichever comes
+    first. Rows with a null id take part by their text. An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession)
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("id").alias(id_col)).distinct()
-    gone = scratch.save(gone, "gone")
-    if gone.limit(most_broadcast + 1).count() <= most_broadcast:
-        gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    judged = scratch.save(near_duplicates(docs, id_col=id_col, text_col=text_col).where("not wordless").select("id", "version", "chosen"), "judged")
+
+    def listed(rows: DataFrame) -> DataFrame:
+        rows = scratch.save(rows.select(F.col("id").alias("listed_id"), F.col("version").alias("listed_version")), "listed")
+        return F.broadcast(rows) if rows.limit(most_broadcast + 1).count() <= most_broadcast else rows
+
+    is_listed = (F.col("version") == F.col("listed_version")) & F.col("id").eqNullSafe(F.col("listed_id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"))
+    rows = rows.join(listed(judged.where("not chosen").distinct()), is_listed, "left_anti")
+    again = listed(judged.where("chosen").groupBy("id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if again.limit(1).count():
+        one = rows.join(again, is_listed, "left_semi").groupBy("id", "version").agg(F.first("row").alias("row"))
+        rows = rows.join(again, is_listed, "left_anti").select("row").union(one.select("row"))
+    return rows.select("row.*")

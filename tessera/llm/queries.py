@@ -23,7 +23,7 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
