@@ -6,16 +6,24 @@ block, so that what a key needs in one task is its rows of a block, never all of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 MICROS = 1_000_000
+#: Pieces in which an interval is entered at one width; there are at most ten widths from a second to all of time.
+MOST_PIECES = 64
 
 
-def micros(c: str) -> Column:
-    """Microseconds since 1970 of a timestamp; one without zone is read in the session's."""
-    return F.unix_micros(F.col(c).cast("timestamp"))
+def micros(df: DataFrame, c: str) -> Column:
+    """Microseconds since 1970 of a timestamp; one without zone counts its own days, whatever the session's zone."""
+    t = F.col(c)
+    if df.schema[c].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(t.cast("timestamp"))
+    day = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return ((day * 24 + F.hour(t)) * 60 + F.minute(t)) * (60 * MICROS) + (F.extract(F.lit("SECOND"), t) * MICROS).cast("long")
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: str, on: str, values: list[str], block_seconds: int = 86_400) -> DataFrame:
@@ -23,12 +31,15 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: str, on: str, values: li
 
     Of right rows at the same time, the one with the greatest values is taken. Left rows with
     a null key or time stay and match nothing; repeated rows each stay; an empty right
-    table gives nulls. Left columns come first, as they were.
+    table gives nulls. Left columns come first, as they were; ValueError if one is named in
+    ``values``.
     """
+    if clash := set(values) & set(left.columns):
+        raise ValueError(f"columns of both tables: {sorted(clash)}")
     block = lambda t: F.floor(t / (block_seconds * MICROS))
-    hit_of = F.struct(micros(on).alias("at"), F.struct(*values).alias("values"))
-    rows = left.select(F.col(by).alias("key"), micros(on).alias("t"), F.struct("*").alias("row"))
-    hits = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(F.col(by).alias("key"), micros(on).alias("t"), hit_of.alias("hit"))
+    hit_of = F.struct(micros(right, on).alias("at"), F.struct(*values).alias("values"))
+    rows = left.select(F.col(by).alias("key"), micros(left, on).alias("t"), F.struct("*").alias("row"))
+    hits = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(F.col(by).alias("key"), micros(right, on).alias("t"), hit_of.alias("hit"))
     timed = rows.where("key is not null and t is not null")
     both = timed.unionByName(hits, allowMissingColumns=True).withColumns({"block": block(F.col("t")), "side": F.col("row").isNotNull()})
 
@@ -49,7 +60,7 @@ def sessions(events: DataFrame, *, by: str, on: str, gap_seconds: int, block_sec
     Sessions of a key are numbered from 0 by time. Rows with a null key or time are in no
     session; repeated rows count each; an empty table has no sessions.
     """
-    rows = events.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(F.col(by).alias("key"), micros(on).alias("t"))
+    rows = events.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(F.col(by).alias("key"), micros(events, on).alias("t"))
     rows = rows.withColumn("block", F.floor(F.col("t") / (block_seconds * MICROS)))
     by_block = W.partitionBy("key").orderBy("block")
     ends = rows.groupBy("key", "block").agg(F.max("t").alias("last")).select("key", "block", F.lag("last").over(by_block).alias("before"))
@@ -67,11 +78,17 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, by: str, on: str,
     """Pairs ``point, span`` (structs) of a key where ``start <= on < end``.
 
     Intervals are entered into each piece of ``width_seconds`` that they touch, and points
-    into one, so this is an equality join that adaptive execution may split. A width near
-    the usual length keeps the copies of an interval few. Nulls match nothing.
+    into one, so this is an equality join that adaptive execution may split. An interval of
+    more than MOST_PIECES pieces is entered at a width so many times as great, or more:
+    points have a row for each width that is in use. Nulls match nothing, repeated rows
+    match each; an empty table gives no pairs.
     """
-    piece = lambda t: F.floor(t / (width_seconds * MICROS))
-    p = points.select(F.col(by).alias("key"), micros(on).alias("t"), F.struct("*").alias("point")).withColumn("piece", piece(F.col("t")))
-    s = intervals.select(F.col(by).alias("key"), micros(start).alias("a"), micros(end).alias("z"), F.struct("*").alias("span")).where("a < z")
+    piece = lambda t: F.floor(t / (F.lit(width_seconds * MICROS).cast("double") * F.pow(F.lit(float(MOST_PIECES)), F.col("level"))))
+    s = intervals.select(F.col(by).alias("key"), micros(intervals, start).alias("a"), micros(intervals, end).alias("z"), F.struct("*").alias("span")).where("key is not null and a < z")
+    length = (F.col("z") - F.col("a")) / (width_seconds * MICROS)
+    s = s.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(length) / math.log(MOST_PIECES)) - 1).cast("int"))
     s = s.withColumn("piece", F.explode(F.sequence(piece(F.col("a")), piece(F.col("z") - 1))))
-    return p.join(s, ["key", "piece"]).where("t >= a and t < z").select("point", "span")
+    levels = [r.level for r in s.select("level").distinct().collect()]
+    p = points.select(F.col(by).alias("key"), micros(points, on).alias("t"), F.struct("*").alias("point"))
+    p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("piece", piece(F.col("t")))
+    return p.join(s, ["key", "level", "piece"]).where("t >= a and t < z").select("point", "span")

@@ -1,12 +1,13 @@
 """Registered queries over the star schema and the events, and the same in DuckDB's SQL.
 
 They stand for the general categories of a query engine (filters, joins, aggregates,
-windows, set operations, time); they claim no counterpart elsewhere.
+windows, set operations, time); they claim no counterpart elsewhere. Nulls, ties and
+repeated rows are as in SQL: a null meets no join key, is a group of its own and is left
+out of sums; repeated rows count each; ties are ordered by a key or, in ranks, all kept.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.money import fraction, money, total
 from ..operators.temporal import asof_join, interval_join, sessions
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..streaming.windows import run_to_table, tumbling_counts
 
@@ -22,11 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _query(sql: str | None):
+def _query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
         return f
 
     return add
@@ -122,10 +122,10 @@ def after_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("span.event_id").alias("signup_id"), F.col("point.event_id").alias("event_id"))
 
 
-@_query(None)
+@_query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type AS key, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed daily windows of the events as a stream; append mode withholds windows that are still open."""
+    """Daily counts of the events as a stream, in complete mode: the last, open window too."""
     path = f"{sf_dir}/events.parquet"
     rows = spark.readStream.schema(spark.read.parquet(path).schema).format("parquet").load(f"{sf_dir}/events*.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return run_to_table(tumbling_counts(rows, on="ts", by="event_type"), folder)
+    counts = run_to_table(tumbling_counts(rows, on="ts", by="event_type"), shared_dir(spark), "complete")
+    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "n")
