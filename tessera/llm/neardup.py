@@ -157,7 +157,7 @@ def _with_sigs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return j.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT).select("u", "v", "n_u", "n_v", "sig_u", "sig_v")
 
 
-def set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 1_000_000) -> DataFrame:
+def set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 500_000) -> DataFrame:
     """``id, shingles``: the full sets of the classes with these distinct numbers, each from the text of its first document.
 
     A list up to ``most_broadcast`` goes to the scans, a longer one is joined by a shuffle.

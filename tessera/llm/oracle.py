@@ -1,6 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import secrets, urlfilter
 from .chat import BLOCK
 from .mixing import TOP_CLASS
 
@@ -31,16 +30,20 @@ def _order(k: str = "kind") -> str:
     return "start, " + f"list_position(['assign', 'access', 'hex', 'live'], {k})"
 
 
+# The patterns of the query, as its text states them; the operator has its own.
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS, _HEX, _BLOB = "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]+"
+
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
-a AS (SELECT *, regexp_extract(v, {_q(secrets.ASSIGN)}, 2) AS val FROM ({_spans("assign", secrets.ASSIGN)})),
+a AS (SELECT *, regexp_extract(v, {_q(_ASSIGN)}, 2) AS val FROM ({_spans("assign", _ASSIGN)})),
 base AS (
   SELECT * FROM a WHERE length(val) >= 6
-  UNION ALL SELECT *, v AS val FROM ({_spans("access", secrets.ACCESS)})
-  UNION ALL SELECT *, v AS val FROM ({_spans("hex", secrets.HEX)})),
+  UNION ALL SELECT *, v AS val FROM ({_spans("access", _ACCESS)}) WHERE length(v) >= 20
+  UNION ALL SELECT *, v AS val FROM ({_spans("hex", _HEX)}) WHERE length(v) >= 24),
 blob AS (
-  SELECT *, v AS val FROM ({_spans("live", secrets.BLOB)}) b
-  WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+  SELECT *, v AS val FROM ({_spans("live", _BLOB)}) b
+  WHERE length(v) >= 28 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.start < b.stop AND b.start < x.stop)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM blob),
 live AS (SELECT val FROM cand GROUP BY val HAVING count(DISTINCT owner) <= 1 AND count(DISTINCT (owner, repo)) <= 2),
@@ -57,33 +60,45 @@ FROM d LEFT JOIN per ON d.doc_id = per.doc_id
 """
 
 
+# The rules of the query, as its text states them.
+_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
 def _rules(h: str, p: str, what: int) -> str:
-    longest_first = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+    longest_first = sorted(_RULES, key=lambda r: -len(r[1] + r[2]))
     out = lambda r: (r[1] + r[2], r[0])[what]
     return "CASE " + " ".join(f"WHEN ({h} = '{r[1]}' OR ends_with({h}, '.{r[1]}')) AND starts_with({p}, '{r[2]}') THEN '{out(r)}'" for r in longest_first) + " END"
 
 
 _LOW = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_REST = lambda u: f"regexp_extract({u}, '(?s)^.*?://(.*)$', 1)"
-_HOST = lambda u: f"coalesce({_LOW(f"regexp_extract({_REST(u)}, '^([^/?#]*)', 1)")}, '')"
-_PATH = lambda u: f"coalesce(regexp_extract({_REST(u)}, '^[^/?#]*([^?#]*)', 1), '')"
-_PLAIN = lambda u: f"regexp_extract({u}, '^([^#]*)', 1)"
-_NODE = lambda u: f"({_LOW(f"regexp_extract({_PLAIN(u)}, '(?s)^(.*?://)', 1)")} || {_HOST(u)} || regexp_extract({_REST(_PLAIN(u))}, '(?s)^[^/?#]*(.*)$', 1))"
-
+_AFTER = lambda u: f"substr({u}, strpos({u}, '://') + 3)"
+_HOST = lambda u: f"CASE WHEN contains({u}, '://') THEN {_LOW(f"split_part(split_part(split_part({_AFTER(u)}, '/', 1), '?', 1), '#', 1)")} ELSE '' END"
+_PLAIN = lambda u: f"split_part({u}, '#', 1)"
+_TAIL = lambda u: f"substr({_AFTER(u)}, length({_HOST(u)}) + 1)"
+_PATH = lambda u: f"CASE WHEN contains({u}, '://') THEN split_part(split_part({_TAIL(u)}, '?', 1), '#', 1) ELSE '' END"
+_NODE = lambda u: f"({_LOW(f"substr({u}, 1, strpos({u}, '://') + 2)")} || {_HOST(u)} || {_TAIL(_PLAIN(u))})"
+_ATTR = lambda x, name: f"""regexp_extract({x}, '(?i)\\s{name}\\s*=\\s*["'']?([^"''\\s>]+)', 1)"""
+
+#: Knows canonical links and refreshes to absolute, rooted, relative and query-only targets; neither base tags nor . and .. in paths.
 OP7 = f"""
-WITH RECURSIVE link AS (
-  SELECT url, unnest(list_concat({", ".join(f"regexp_extract_all(html, {_q('(?i)' + p)}, 1)" for p in (*urlfilter.CANONICAL, urlfilter.REFRESH))})) AS t
-  FROM pages WHERE contains(url, '://')),
+WITH RECURSIVE tag AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\s[^>]*>')) AS x FROM pages WHERE contains(url, '://')),
+link AS (
+  SELECT url, replace({_ATTR("x", "href")}, '&amp;', '&') AS t FROM tag WHERE x ILIKE '<link%' AND lower({_ATTR("x", "rel")}) = 'canonical'
+  UNION ALL SELECT url, replace(regexp_extract(x, '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') FROM tag WHERE x ILIKE '<meta%' AND lower({_ATTR("x", "http-equiv")}) = 'refresh'),
 full_link AS (
-  SELECT url, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?):', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t WHEN contains(t, '://') THEN t END AS t FROM link),
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN split_part(url, ':', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN substr(url, 1, strpos(url, '://') + 2 + length({_HOST("url")})) || t
+    WHEN starts_with(t, '?') THEN split_part(split_part(url, '#', 1), '?', 1) || t
+    WHEN contains({_AFTER("split_part(split_part(url, '#', 1), '?', 1)")}, '/') THEN regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '[^/]*$', '') || t
+    ELSE split_part(split_part(url, '#', 1), '?', 1) || '/' || t END AS t FROM link WHERE t <> ''),
 edge AS (SELECT {_NODE("url")} AS u, {_NODE("t")} AS v FROM full_link WHERE t IS NOT NULL),
 sym AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge),
 reach(u, v) AS (SELECT u, v FROM sym UNION SELECT reach.u, sym.v FROM reach JOIN sym ON reach.v = sym.u),
 alias AS (
   SELECT u, CASE WHEN bool_or(rv = 'allow') THEN 'allow' WHEN bool_or(rv = 'block') THEN 'block' END AS a
   FROM (SELECT u, {_rules(_HOST("v"), _PATH("v"), 1)} AS rv FROM reach) GROUP BY u),
-p AS (SELECT page_id, url, {_HOST("url")} AS host, {_PATH("url")} AS path, CASE WHEN contains(url, '://') THEN {_NODE("url")} END AS node FROM pages)
+p AS (SELECT page_id, url, coalesce({_HOST("url")}, '') AS host, coalesce({_PATH("url")}, '') AS path, CASE WHEN contains(url, '://') THEN {_NODE("url")} END AS node FROM pages)
 SELECT page_id, host, path, {_rules("host", "path", 0)} AS rule, coalesce({_rules("host", "path", 1)}, a, 'allow') AS verdict, coalesce(a, 'none') AS alias_verdict
 FROM p LEFT JOIN alias ON p.node = alias.u
 """

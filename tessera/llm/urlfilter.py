@@ -10,12 +10,6 @@ from .graph import connected_components
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-# The forms that the SQL counterpart knows; the operator reads tags and their attributes.
-CANONICAL = (
-    r"""<link\b[^>]*\brel=["']?canonical["']?[^>]*\bhref=["']?([^"'\s>]+)""",
-    r"""<link\b[^>]*\bhref=["']?([^"'\s>]+)["']?[^>]*\brel=["']?canonical\b""",
-)
-REFRESH = r"""<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*\burl=([^"'\s>]+)"""
 #: A tag, in which quoted values may hold >, and its attributes with values.
 TAG = r"""(?i)<(?:link|meta|base)(?=[\s/])(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 ATTRIBUTE = r"""[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
@@ -136,7 +130,7 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     by distributed label propagation. A url without a rule of its own is allowed if some
     alias has an allow rule, else blocked if some alias has a block rule, else allowed.
     A url's own rule always wins. Links are read from tags whatever their attributes' order,
-    quotes and spaces, relative ones resolved; the SQL counterpart knows fewer forms.
+    quotes and spaces, relative ones resolved.
 
     Null urls and urls without :// have an empty host and path, no rule and no aliases.
     Repeated rows get a row each.

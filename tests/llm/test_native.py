@@ -191,6 +191,22 @@ LINKS = [
 ]
 
 
+def test_url_sql_follows_links_too(spark):
+    """The SQL counterpart, which has patterns of its own, on pages with links."""
+    canon = lambda u: f'<head><link rel="canonical" href="{u}"></head>'
+    rows = [
+        ("http://a.org/1", canon("http://b.net/es/1")), ("http://c.org/1", '<meta http-equiv="refresh" content="0; url=http://a.org/1">'), ("HTTP://D.org/x/1#frag", "<LINK HREF='/2' REL='canonical'>"), ("http://d.org/2", canon("http://f.net/fr/")),
+        ("http://e.org/a/1?x", canon("2")), ("http://e.org/a/2", canon("?y=1&amp;z=2")), ("http://e.org/a/2?y=1&z=2", canon("//b.net/es/1")), ("http://g.org", canon("es/x")), ("http://g.org/es/x", canon("http://x.com/1")), ("http://x.com/1", canon("http://h.net/es/")),
+        ("http://h.net/es/", None), ("http://h.net/de/", canon("mailto:x@y")), (None, canon("http://h.net/es/")), ("nourl", canon("http://h.net/es/")), ("http://i.org/?q", None), ("http://h.net/de/", None),
+    ]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    want = con.execute(f"select page_id, host, path, rule, verdict, alias_verdict from ({oracle.OP7})").fetchall()
+    got = [tuple(r) for r in urlfilter.judge_urls(_pages(spark, rows)).select("page_id", "host", "path", "rule", "verdict", "alias_verdict").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[4] for r in got} == {"allow", "block"} and {r[5] for r in got} == {"allow", "block", "none"}
+
+
 def test_url_link_forms(spark):
     pages = _pages(spark, [(u, h) for u, h, _ in LINKS])
     got = sorted(tuple(r) for r in urlfilter.link_edges(pages, "url", "html", None).collect())
