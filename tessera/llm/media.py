@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, utf8
+from .jpeg import block_means
 
 #: A frame has 24 x 24 blocks of 8 x 8 pixels; the format's unit is a block's DC coefficient, which holds a byte.
 SIDE = 24
@@ -75,31 +76,17 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [b"".join((head, row.tobytes().replace(b"\xff", b"\xff\0"), tail)) for row in scan]
 
 
-@lru_cache(maxsize=64)
-def _read_head(head: bytes) -> None:
-    """Raise unless the headers are those of a frame this module can decode."""
-    at, seen = 2, {}
-    while at < len(head):
-        mark, kind, size = struct.unpack_from(">BBH", head, at)
-        if mark != 0xFF:
-            raise ValueError("not a JPEG segment")
-        seen[kind] = head[at + 4 : at + 2 + size]
-        at += 2 + size
-    if seen.get(0xC0, b"")[:6] != struct.pack(">BHHB", 8, _PIXELS, _PIXELS, 1) or _segment(0xC4, seen.get(0xC4, b"")) not in _frame_head() or _segment(0xDB, seen.get(0xDB, b"")) not in _frame_head():
-        raise ValueError("a frame with other tables than these")
-
-
 def decode_frames(images: list[bytes]) -> np.ndarray:
-    """The bytes of frames, from their DC coefficients; ValueError if a frame is damaged or of another kind."""
-    bits = UNITS * 10 // 8
+    """The bytes of this module's frames, from their DC coefficients; ValueError if a frame is damaged or of another kind.
+
+    All codes have ten bits there, so all blocks of all frames are decoded at once.
+    """
+    bits, head = UNITS * 10 // 8, _frame_head()
     scans = []
     for image in images:
-        sos = image.find(b"\xff\xda")
-        if image[:2] != b"\xff\xd8" or sos < 0 or image[-2:] != b"\xff\xd9":
-            raise ValueError("not a JPEG image")
-        at = sos + 2 + struct.unpack_from(">H", image, sos + 2)[0]
-        _read_head(image[:at])
-        scan = image[at:-2].replace(b"\xff\0", b"\xff")
+        if not image.startswith(head) or image[-2:] != b"\xff\xd9":
+            raise ValueError("not a frame of this kind")
+        scan = image[len(head) : -2].replace(b"\xff\0", b"\xff")
         if len(scan) != bits:
             raise ValueError("a scan of another length")
         scans.append(scan)
@@ -141,29 +128,80 @@ class Video:
     images: list[bytes]
 
 
+def _parts(data: bytes, at: int, end: int) -> list[tuple[bytes, int, int]]:
+    """Name, place and size of the chunks in a stretch of a file; a list has its kind for a name."""
+    out = []
+    while at + 8 <= end:
+        name, size = struct.unpack_from("<4sI", data, at)
+        inner = name in (b"LIST", b"RIFF")
+        out.append((data[at + 8 : at + 12], at + 12, size - 4) if inner else (name, at + 8, size))
+        at += 8 + size + size % 2
+    return out
+
+
+def _indexed(data: bytes, stream: int, movi: int, idx1: tuple[int, int] | None, supers: list[tuple[int, int]]) -> list[bytes]:
+    """The frames that the file's index lists: an OpenDML one, else idx1, whose offsets count from ``movi`` or from the file's start."""
+    out = []
+    for at, _ in supers:
+        for entries, base in _standard(data, at):
+            out += [data[base + where : base + where + (size & 0x7FFFFFFF)] for where, size in entries]
+    if out or idx1 is None:
+        return out
+    names = (b"%02ddc" % stream, b"%02ddb" % stream)
+    rows = [r for r in struct.iter_unpack("<4sIII", data[idx1[0] : idx1[0] + idx1[1] // 16 * 16]) if r[0] in names]
+    base = 0 if rows and data[rows[0][2] : rows[0][2] + 4] == rows[0][0] else movi
+    for name, _, offset, size in rows:
+        start = base + offset
+        if data[start : start + 4] != name or start + 8 + size > len(data):
+            raise ValueError("an index that points elsewhere")
+        out.append(data[start + 8 : start + 8 + size])
+    return out
+
+
+def _standard(data: bytes, at: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The entries of each standard index that a super index names, and where they count from."""
+    _, _, kind, used = struct.unpack_from("<HBBI", data, at)
+    places = [at] if kind == 1 else [struct.unpack_from("<Q", data, at + 24 + 16 * k)[0] + 8 for k in range(used)]
+    out = []
+    for p in places:
+        n, base = struct.unpack_from("<I", data, p + 4)[0], struct.unpack_from("<Q", data, p + 12)[0]
+        out.append(([struct.unpack_from("<II", data, p + 24 + 8 * k) for k in range(n)], base))
+    return out
+
+
 def read_avi(data: bytes) -> Video:
     """The frames that the index of an AVI file lists; ValueError if it is none or lacks parts."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, end, found = 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]), {}
-    while at + 8 <= end:
-        name, size = struct.unpack_from("<4sI", data, at)
-        found[data[at + 8 : at + 12] if name == b"LIST" else name] = (at + 8, size)
-        at += 8 + size + size % 2
-    if not {b"hdrl", b"movi", b"idx1"} <= found.keys():
-        raise ValueError("an AVI file without header, frames or index")
+    found = {name: (at, size) for name, at, size in reversed(_parts(data, 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])))}
+    if not {b"hdrl", b"movi"} <= found.keys():
+        raise ValueError("an AVI file without header or frames")
     h, size = found[b"hdrl"]
-    strh = data.find(b"strh", h, h + size)
-    kind, scale, rate = data[strh + 12 : strh + 16], *struct.unpack_from("<II", data, strh + 28)
-    if strh < 0 or kind != b"MJPG" or not scale:
-        raise ValueError("not motion JPEG")
-    movi, (i, size) = found[b"movi"][0], found[b"idx1"]
-    images = []
-    for name, _, offset, length in struct.iter_unpack("<4sIII", data[i : i + size]):
-        if name == b"00dc":
-            start = movi + offset + 8
-            images.append(data[start : start + length])
-    return Video(rate / scale, images)
+    streams = [_parts(data, at, at + n) for name, at, n in _parts(data, h, h + size) if name == b"strl"]
+    for k, parts in enumerate(streams):
+        at = next((a for name, a, _ in parts if name == b"strh"), None)
+        if at is None or data[at : at + 4] != b"vids":
+            continue
+        scale, rate = struct.unpack_from("<II", data, at + 20)
+        if data[at + 4 : at + 8].upper() != b"MJPG" or not scale:
+            break
+        supers = [(a, n) for name, a, n in parts if name == b"indx"]
+        if b"idx1" not in found and not supers:
+            raise ValueError("an AVI file without index")
+        return Video(rate / scale, [i for i in _indexed(data, k, found[b"movi"][0] - 4, found.get(b"idx1"), supers) if i])
+    raise ValueError("not motion JPEG")
+
+
+def brightness(video: Video) -> np.ndarray:
+    """The mean brightness of each frame's blocks, a row for each frame; ValueError if a frame is damaged or of another size."""
+    if not video.images:
+        return np.zeros((0, UNITS), np.uint8)
+    if all(i.startswith(_frame_head()) for i in video.images):
+        return decode_frames(video.images)
+    rows = [block_means(i) for i in video.images]
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("frames of several sizes")
+    return np.stack(rows)
 
 
 # ---- shots ----------------------------------------------------------------------------
@@ -172,7 +210,7 @@ def read_avi(data: bytes) -> Video:
 def histograms(frames: np.ndarray) -> np.ndarray:
     """Shares of each frame's blocks in BINS bins of brightness."""
     key = np.arange(len(frames))[:, None] * BINS + (frames >> 3)
-    return np.bincount(key.ravel(), minlength=len(frames) * BINS).reshape(-1, BINS) / UNITS
+    return np.bincount(key.ravel(), minlength=len(frames) * BINS).reshape(-1, BINS) / frames.shape[1]
 
 
 def cuts(frames: np.ndarray) -> list[int]:
@@ -243,8 +281,11 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def clips(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """A row for each shot: ``id, clip, first_frame, n_frames, start_s, end_s, brightness, status``.
 
-    A null, a damaged file or another kind of file gives one row with the reason in
-    ``status`` and nulls; others have ``ok``.
+    Any baseline frames are read, with the tables of the file or, where it has none, the
+    standard's; brightness is that of the first component's blocks, from their first
+    coefficients. A null, a damaged file, one without frames or another kind of file gives
+    one row with the reason in ``status`` and nulls; others have ``ok``. Rows that repeat an
+    id give theirs each, an empty table none.
     """
 
     def run(batches):
@@ -253,8 +294,10 @@ def clips(media: DataFrame, *, id_col: str = "id", media_col: str = "media") ->
             for name, data in zip(b.column("id").to_pylist(), b.column("media").to_pylist(), strict=True):
                 try:
                     video = read_avi(data or b"")
-                    frames = decode_frames(video.images) if video.images else np.zeros((0, UNITS), np.uint8)
-                except (ValueError, struct.error) as e:
+                    frames = brightness(video)
+                    if not len(frames):
+                        raise ValueError("a file without frames")
+                except (ValueError, IndexError, struct.error) as e:
                     rows.append((name, None, None, None, None, None, None, str(e)))
                     continue
                 starts = cuts(frames)

@@ -50,11 +50,16 @@ def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed shots of the AVI files that op9 makes of the documents."""
+    return media.clips(media.media_column(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix_counts(_table(spark, sf_dir, "documents"))
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op8_decontaminate, op9_media_avi, op10_mixing)
+    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op8_decontaminate, op9_media_avi, op10_mixing, media_clips)
 }
