@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from corpus_pipeline import decontaminate_stage, neardup_stage, token_stage
 from tessera.llm import decontam, quality
 
-from .helpers import DOCS, SF
+from .helpers import CLASH, DOCS, SF, prose
 from .test_binary import _want_tokens
 from .test_decontam import ITEMS
 from .test_models import _held_out
@@ -90,6 +91,26 @@ def test_run_equals_the_stages(spark, outputs):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select(*cols).collect())) == sorted(map(tuple, outputs[5].select(*cols).collect()))
 
 
+def test_edge_rows_pass_every_stage(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, copies, repeated rows and clashing names."""
+    long = prose(1, 3000)
+    rows = [(i, " ".join(prose(10 + i, 80)) + ".", "en", "ab"[i % 2], i) for i in range(40)]
+    rows += [(100, " ".join(long), None, None, None), (101, " ".join([*long, "end"]), "en", "a", 0), (102, None, "en", "a", 0), (103, "", "en", None, 0), (None, rows[0][1], "en", "a", 0), (None, rows[3][1] + " x", "en", "b", 0), rows[5], rows[5], (None, None, None, None, None)]
+    rows += [(104, " ".join([*prose(900, 9), *prose(17, 40)[:30], *prose(901, 9)]), "en", "a", 0)]
+    docs = spark.createDataFrame([(*r, 7, "k", 9, "r", 3, b"s", 1, 5, "l") for r in rows], CLASH)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(None, 1, 0), (5, None, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, " ".join(prose(17, 40)[:30]), 0, 0), (1, None, 0, 0), (2, "", 0, 0)], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and set(map(str, out.collect())) <= set(map(str, docs.collect()))
+    kept = neardup_stage(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([*range(40), 100, 102, 103, 104, None])
+    assert {r.doc_id for r in kept} - {r.doc_id for r in decontaminate_stage(spark, docs, str(tmp_path)).collect()} == {7, 104}
+    assert len(token_stage(spark, docs, str(tmp_path)).collect()) == len(rows)
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", ITEMS)):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
