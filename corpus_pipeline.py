@@ -9,27 +9,33 @@ from tessera.llm.common import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    A null text is judged as an empty one; rows that repeat an id are judged each by its text.
+    """
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies."""
+    """One row, that of the least id, of each group of near copies.
+
+    Rows without words stay; rows that repeat an id and a text are copies too.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; those with a null text hold none, an item without an id counts."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most; a null source is one of its own, a null text has no words."""
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' rows: one for each document of the mix."""
+    """The token files' rows: one for each document of the mix, null ids first; a null text has the end id alone."""
     return tokenbin.token_table(docs)
 
 
@@ -46,7 +52,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. An empty table gives no rows."""
+    """All stages over the documents of sf_dir. An empty table gives no rows; extra columns pass through all stages but the last."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
