@@ -13,6 +13,8 @@ from ..sources.shared import shared_dir
 
 #: A word is a run of characters other than space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows with whole texts in an Arrow batch, at most.
+BATCH_ROWS = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,6 +61,18 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after a session with the usual 10,000 rows in an Arrow batch has been set to BATCH_ROWS.
+
+    A batch is whole in the memory of the executor and of its Python worker, and rows hold
+    whole texts. A session that asks for fewer rows keeps its number.
+    """
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(conf)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(conf, BATCH_ROWS)
+    return df
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 

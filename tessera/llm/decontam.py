@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix64, utf8, word_hashes, words
+from .common import small_batches
 
 #: Edits allowed per hundred words of an item; items below SHORT words allow none.
 EDITS_PERCENT, SHORT = 20, 10
@@ -366,7 +367,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, first_word bigint, n_words bigint, distance bigint"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for index in item_blocks(benchmark, item_col, item_text_col, block):
 
@@ -397,5 +398,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                     keep[search(index.value, b.column(text_col))[0]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Labelled texts to learn from, about so many for each language, chosen by a hash of their id.
 PER_LANG = 4_000
@@ -108,7 +108,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = small_batches(sample).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.ones((buckets, len(langs)))
     np.add.at(table, (counts["bucket"].to_numpy(np.int64), counts["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(np.int64)), counts["n"].to_numpy(np.float64))
     logp = np.log(table) - np.log(table.sum(0))
@@ -131,5 +131,5 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 lang, score = model.value.predict(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
     return out.select("id", held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, utf8
+from .common import small_batches
 from .jpeg import block_means
 
 #: A frame has 24 x 24 blocks of 8 x 8 pixels; the format's unit is a block's DC coefficient, which holds a byte.
@@ -275,7 +276,7 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in t], pa.int64()), pa.array(store(t), pa.large_binary()).cast(pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary")
 
 
 def clips(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -334,6 +335,6 @@ def media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 ], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
     return out.withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix64, utf8, word_hashes, words
-from .common import Scratch
+from .common import Scratch, small_batches
 from .graph import connected_components
 
 #: Words in a shingle, and the similarity (in hundredths) from which documents are linked.
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ], ["id", "version", "n_shingles", "digest", "sig", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, version bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
 
 

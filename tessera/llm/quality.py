@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import byte_counts, chunks, per_text, utf8, word_hashes, words
-from .common import Scratch, held_out
+from .common import Scratch, held_out, small_batches
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "symbols", "bangs", "pipes", "marked_words", "distinct_words",
@@ -177,7 +177,7 @@ def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 x = text_features(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["id", "x"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, x array<double>")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, x array<double>")
 
 
 def train(features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Gam:
@@ -228,4 +228,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             for b in chunks(batch, text_col):
                 yield b.filter(pa.array(model.value.score(text_features(b.column(text_col))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

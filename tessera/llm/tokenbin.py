@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .arrays import CHUNK, chunks, mix64, per_text, utf8, word_hashes, words
-from .common import Scratch
+from .common import Scratch, small_batches
 
 MAGIC = b"TSR1"
 #: Ids in a shard, about; a shard ends with the document that passes this.
@@ -269,7 +269,7 @@ def tokenize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 at += b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("version"), pa.array(salt), pa.array(sizes + 1), rows], ["id", "version", "salt", "n", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id bigint, version bigint, salt bigint, n bigint, ids binary")
 
 
