@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks
-from .common import held_out, small_batches
+from .common import Scratch, held_out, small_batches
 
 #: Labelled texts to learn from, about so many for each language, chosen by a hash of their id.
 PER_LANG = 4_000
@@ -19,6 +19,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Bytes of log probabilities that may be broadcast: 1,024 languages. A table with more is refused.
 MOST_BYTES = 128 << 20
+#: Languages whose counts a task or the driver holds at a time.
+TOGETHER = 64
 UNKNOWN = "und"
 
 
@@ -78,10 +80,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     The prior comes from all of them, the counts from about ``per_lang`` of each language,
     picked by a hash of the id. What reaches the driver is a count for each language and
-    bucket, which is the size of the model. ValueError if that passes MOST_BYTES: so many
+    bucket, TOGETHER languages at a time. ValueError if the model passes MOST_BYTES: so many
     values of a language column are no languages.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     most = MOST_BYTES // (4 * buckets)
     share = {r.lang: r.n for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
@@ -97,23 +100,35 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
+
+        def out():
+            for lang, n in seen.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+            seen.clear()
+
         for batch in batches:
             for b in chunks(batch, "text"):
                 names = np.array(b.column("lang").to_pylist(), object)
                 texts = b.column("text").to_pylist()
                 for lang in dict.fromkeys(names):
+                    if lang not in seen and len(seen) == TOGETHER:
+                        yield from out()
                     g, _, _ = ngrams([t for t, n in zip(texts, names, strict=True) if n == lang], buckets)
                     seen[lang] = seen.get(lang, 0) + np.bincount(g, minlength=buckets)
-        for lang, n in seen.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
-
-    counts = small_batches(sample).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.ones((buckets, len(langs)))
-    np.add.at(table, (counts["bucket"].to_numpy(np.int64), counts["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(np.int64)), counts["n"].to_numpy(np.float64))
-    logp = np.log(table) - np.log(table.sum(0))
+        yield from out()
+
+    counts = scratch.save(small_batches(sample).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    logp = np.zeros((buckets, len(langs)), np.float32, "F")
+    for at in range(0, len(langs), TOGETHER):
+        part = langs[at : at + TOGETHER]
+        rows = counts.where(F.col("lang").isin(part)).toPandas()
+        table = np.ones((buckets, len(part)))
+        table[rows["bucket"].to_numpy(np.int64), rows["lang"].map({k: i for i, k in enumerate(part)}).to_numpy(np.int64)] += rows["n"].to_numpy(np.float64)
+        logp[:, at : at + len(part)] = np.log(table) - np.log(table.sum(0))
+    scratch.drop(counts)
     prior = np.log(np.array([share[k] for k in langs]) / sum(share.values()))
-    return NaiveBayes(langs, prior, np.asfortranarray(logp, np.float32))
+    return NaiveBayes(langs, prior, logp)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> DataFrame:

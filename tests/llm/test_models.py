@@ -108,6 +108,16 @@ def test_naive_bayes_equals_plain_counts(spark):
         assert name == model.langs[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)
 
 
+def test_languages_are_counted_some_at_a_time(spark, monkeypatch):
+    rows = [(i, f"{lang} word{i % 5} {lang * 3}", lang, "s", 0) for i in range(60) for lang in ("x", "y", "z", "w", "é")]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(2)
+    whole = langid.train(docs)
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    parts = langid.train(docs)
+    assert parts.langs == whole.langs == sorted("xyzwé")
+    assert np.array_equal(parts.logp, whole.logp) and np.array_equal(parts.prior, whole.prior)
+
+
 def test_ngrams_equal_plain_ones():
     """Each run of one to three characters counts once, letters in lower case and all else as a space, in its own bucket."""
     bucket = lambda g: int(langid.ngrams([g], langid.BUCKETS)[0][-1])
