@@ -15,6 +15,8 @@ from ..sources.shared import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows with whole texts in an Arrow batch, at most.
 BATCH_ROWS = 1000
+#: Bytes of a table, as JSON, up to which it is broadcast.
+MOST_BROADCAST = 64 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -87,11 +89,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def small(df: DataFrame, most: int) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(most + 1).count() <= most
+def small(df: DataFrame, most: int, most_bytes: int = MOST_BROADCAST) -> bool:
+    """Whether df has at most so many rows, which written as JSON have at most so many bytes. One distributed pass; df is a written table or derived from one."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return size.rows <= most and size.bytes <= most_bytes
 
 
 def maybe_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else Spark shuffles both sides."""
+    """df with a broadcast hint if it is small; else Spark shuffles both sides."""
     return F.broadcast(df) if small(df, most) else df

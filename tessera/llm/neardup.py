@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix64, utf8, word_hashes, words
-from .common import Scratch, small_batches
+from .common import Scratch, maybe_broadcast, small_batches
 from .graph import connected_components
 
 #: Words in a shingle, and the similarity (in hundredths) from which documents are linked.
@@ -160,12 +160,10 @@ def _with_sigs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, most_broadcast: int = 500_000) -> DataFrame:
     """``id, shingles``: the full sets of the classes with these distinct numbers, each from the text of its first document.
 
-    A list up to ``most_broadcast`` goes to the scans, a longer one is joined by a shuffle.
+    A list up to ``most_broadcast``, if its bytes are few too, goes to the scans; a longer one is joined by a shuffle.
     """
     names = classes.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("first.id").alias("doc"), F.col("first.version").alias("version"), "digest")
-    names = scratch.save(names, "ids")
-    if names.limit(most_broadcast + 1).count() <= most_broadcast:
-        names = F.broadcast(names)
+    names = maybe_broadcast(scratch.save(names, "ids"), most_broadcast)
     rows = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_version"), F.col(text_col).alias("text"))
     rows = rows.join(names, (F.col("row_version") == F.col("version")) & F.col("row_id").eqNullSafe(F.col("doc"))).select("id", "digest", "text")
 
@@ -307,6 +305,8 @@ def cross_links(members: DataFrame) -> DataFrame:
         return np.array(us, id_.dtype), np.array(vs, id_.dtype)
 
     return _block_groups(members, ["shingles"]).mapInArrow(lambda b: _in_groups(b, work, ["u", "v"]), "u bigint, v bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, version, n_shingles, component_id, kept, chosen`` for every document.
 
@@ -380,8 +380,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     judged = scratch.save(near_duplicates(docs, id_col=id_col, text_col=text_col).where("not wordless").select("id", "version", "chosen"), "judged")
 
     def listed(rows: DataFrame) -> DataFrame:
-        rows = scratch.save(rows.select(F.col("id").alias("listed_id"), F.col("version").alias("listed_version")), "listed")
-        return F.broadcast(rows) if rows.limit(most_broadcast + 1).count() <= most_broadcast else rows
+        return maybe_broadcast(scratch.save(rows.select(F.col("id").alias("listed_id"), F.col("version").alias("listed_version")), "listed"), most_broadcast)
 
     is_listed = (F.col("version") == F.col("listed_version")) & F.col("id").eqNullSafe(F.col("listed_id"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup
+from tessera.llm import common, neardup
 
 from .helpers import DOCS, edge_docs, edge_table, empty_table, prose
 
@@ -85,6 +85,18 @@ def test_ids_that_repeat_or_are_missing(spark):
     assert (None, other[2]) in kept and len(kept) == 7
 
 
+def test_lists_too_large_to_broadcast_change_nothing(spark):
+    """Rows and bytes bound a broadcast; beyond either, rows are joined by a shuffle with the same result."""
+    wide = spark.createDataFrame([(k, "x" * 1000) for k in range(10)], "k int, text string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.maybe_broadcast(wide, 10)) and not hinted(common.maybe_broadcast(wide, 9))
+    texts = [*family(1, 20, 90, 1), *family(2, 9, 80, 2), *["same text of six short words"] * 5]
+    df = spark.createDataFrame([(k % 30, t, "en", "a", 0) for k, t in enumerate(texts)], DOCS)
+    want = sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(df).collect())
+    assert want and sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(df, most_broadcast=0).collect()) == want
+    assert common.small(wide, 10, 10_300) and not common.small(wide, 10, 10_000)
+
+
 def test_rows_of_a_hot_bucket_grow_less_than_its_square(spark):
     """Members that nothing links are dealt into blocks; each two of them meet once."""
 
