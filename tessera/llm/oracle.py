@@ -149,4 +149,67 @@ SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS compo
 FROM s LEFT JOIN c ON s.doc_id = c.u
 """
 
-ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op3_minhash_neardup": OP3, "op5_secret_scan": OP5, "op7_url_filter": OP7, "op10_mixing": OP10}
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(first: str, name: str, levels: int) -> str:
+    """Runs r0, r1, ... of a tree's nodes below ``first``, and the nodes that remain; for 16^levels nodes."""
+    out, below = [], first
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT source, pos // 16 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {below} GROUP BY source, pos // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT source, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (n + 15) // 16 AS n FROM {name}r{k})")
+        below = f"{name}{k + 1}"
+    return ", ".join(out)
+
+
+def _folds(first: str, name: str, runs: str, pos: str, levels: int, tree: str) -> str:
+    """The rows of ``first`` with x folded and siblings added to proof, level by level."""
+    out, below = [], first
+    for k in range(levels):
+        i = f"({pos} // {16**k}) % 16"
+        before, after = f"array_to_string(hs[1:{i}], '')", f"array_to_string(hs[{i} + 2:], '')"
+        out.append(
+            f"{name}{k + 1} AS (SELECT f.* EXCLUDE (x, proof), CASE WHEN n > 1 THEN sha256({before} || x || {after}) ELSE x END AS x, proof || {before} || {after} AS proof "
+            f"FROM {below} f JOIN {runs}r{k} r ON {tree} AND r.run = {pos} // {16 ** (k + 1)})"
+        )
+        below = f"{name}{k + 1}"
+    return ", ".join(out)
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda c, b: xor(c >> 8, crcs[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
+
+#: For up to 16^6 leaves of a source and 16^4 sources.
+OP12 = f"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda x: 0::UBIGINT)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS crcs FROM range(256) t(i)),
+d AS (SELECT doc_id, source, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF(_LOW("text"))} END AS tampered FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+a0 AS (SELECT source, pos, leaf AS h, n FROM l), {_tree("a0", "a", 6)},
+s AS (SELECT source AS name, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos FROM a6),
+b0 AS (SELECT 0 AS source, spos AS pos, subroot AS h, count(*) OVER () AS n FROM s), {_tree("b0", "b", 4)},
+f0 AS (SELECT doc_id, source, leaf, pos, spos, subroot, coalesce(tampered, leaf) AS x, '' AS proof FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.name),
+{_folds("f0", "f", "a", "pos", 6, "f.source IS NOT DISTINCT FROM r.source")}, {_folds("f6", "g", "b", "spos", 4, "true")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = h AS verified FROM g4, (SELECT h FROM b4)
+"""
+
+_SHARE = lambda n, total: f"(1 + 1000000000::HUGEINT * ({n} + 1) // ({total}))"
+_RANK = "CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all({_LOW("t")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok SEMI JOIN k USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total, coalesce(any_value(v), 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN size USING (lang) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE("coalesce(c.n, 0)", "total + v")} AS p FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+w AS (SELECT lang, sum(total) + any_value(v) AS total FROM g GROUP BY lang),
+q AS (SELECT lang, term, {_SHARE("sum(n)", "any_value(total)")} AS q FROM p JOIN w USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, {_RANK} FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {_RANK} FROM term) WHERE rank <= 200
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op3_minhash_neardup": OP3, "op5_secret_scan": OP5, "op7_url_filter": OP7, "op10_mixing": OP10, "op12_merkle_manifest": OP12, "op13_source_divergence": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, neardup, quality, secrets, tokenbin, urlfilter
+from . import chat, decontam, divergence, langid, media, merkle, mixing, neardup, quality, secrets, simhash, tokenbin, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; ``simhash.simhash_duplicates`` says what nulls and ties give."""
+    return simhash.simhash_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document, a fifth of them tampered with; ``merkle.manifest`` says what nulls and ties give."""
+    return merkle.tamper_fifth(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources and the terms that set a source apart; ``divergence.divergence`` says what nulls and ties give."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op8_decontaminate, op9_media_avi, op10_mixing, media_clips)
+    f.__name__: f for f in (op1_chat_format, op2_quality_gam, op3_minhash_neardup, op4_language_id, op5_secret_scan, op6_token_shards, op7_url_filter, op8_decontaminate, op9_media_avi, op10_mixing, op11_simhash_pivots, op12_merkle_manifest, op13_source_divergence, media_clips)
 }
