@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,130 +20,179 @@ from .common import Scratch, maybe_broadcast, small_batches
 LEAST_DOCS, UNIT = 3, 1_000_000_000
 #: Terms of a source that are reported.
 MOST_TERMS = 200
-#: Counted terms in a task's tables before they go to its tries, and leaves before the tries are sent on.
-MOST_COUNTED, MOST_LEAVES = 400_000, 150_000
-#: Terms of a merged trie's block, and numbers of shares held at a time.
-BLOCK_TERMS, MOST_CELLS = 4096, 1 << 20
+#: Rests of terms in a bucket of a trie, tokens whose counts are held one by one, and leaves before a task's tries are sent on.
+BUCKET, MOST_TOKENS, MOST_LEAVES = 64, 1 << 20, 400_000
+#: Leaves that are merged at a time, terms of a block, and numbers of shares held at a time.
+MERGED, BLOCK_TERMS, MOST_CELLS = 20_000, 4096, 1 << 20
 #: Bytes of a text that are split into terms at a time.
 PIECE = 1 << 20
 #: A-Z as a-z, other letters of a term as they are, what separates terms as a space.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def _same(a: bytes, b: bytes, at: int = 0) -> int:
+    """How many bytes a shares with b from a place on."""
+    n, most = 0, min(len(a), len(b) - at)
+    while n < most and a[n] == b[at + n]:
+        n += 1
+    return n
+
+
 class Trie:
-    """A byte radix trie. A leaf has the number of documents and a counter for each source.
+    """A byte radix trie from terms to numbers of leaves.
 
-    A node is ``[label, children by first byte, leaf or None]``.
+    An inner node is ``[label, children]``: after the label's bytes the next one leads to a
+    child, and -1 to the leaf of the term that ends there. The lowest nodes are buckets of
+    rests, which become inner nodes when they are too many.
     """
 
     def __init__(self):
-        self.root: list = [b"", {}, None]
-        self.size = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term, made if it is new: ``[documents, {source: count}]``."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                at = len(term)
-            elif term.startswith(child[0], at):
-                at += len(child[0])
-            else:
+        self._top: dict = {0: {}}
+
+    def put(self, term: bytes, leaf: int) -> None:
+        up, way, at = self._top, 0, 0
+        node = up[way]
+        while type(node) is list:
+            label = node[0]
+            if label and not term.startswith(label, at):
                 # The label parts from the term: a node for what they share comes between.
-                label, same = child[0], 1
-                while at + same < len(term) and label[same] == term[at + same]:
-                    same += 1
-                upper = node[1][term[at]] = [label[:same], {label[same]: child}, None]
-                child[0] = label[same:]
-                child, at = upper, at + same
-            node = child
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.size += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counts) -> None:
-        """Merge a leaf in; counts are pairs of source and count."""
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        own = leaf[1]
-        for source, n in counts:
-            own[source] = own.get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Terms and leaves in order of their bytes."""
-        todo = [(b"", self.root)]
+                n = _same(label, term, at)
+                node[0] = label[n + 1 :]
+                node = up[way] = [label[:n], {label[n]: node}]
+            at += len(node[0])
+            up = node[1]
+            if at == len(term):
+                up[-1] = leaf
+                return
+            way = term[at]
+            at += 1
+            node = up.get(way)
+            if node is None:
+                node = up[way] = {}
+        node[term[at:]] = leaf
+        if len(node) > BUCKET:
+            least = min(node)
+            n = _same(least, max(node))
+            children: dict = {}
+            for rest, own in node.items():
+                if len(rest) == n:
+                    children[-1] = own
+                else:
+                    children.setdefault(rest[n], {})[rest[n + 1 :]] = own
+            up[way] = [least[:n], children]
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Terms and their leaves, in order of the terms' bytes."""
+        todo = [(b"", self._top[0])]
         while todo:
-            prefix, (label, children, leaf) = todo.pop()
-            term = prefix + label
-            if leaf is not None:
-                yield term, leaf
-            todo += [(term, children[c]) for c in sorted(children, reverse=True)]
+            prefix, node = todo.pop()
+            if type(node) is dict:
+                for rest in sorted(node):
+                    yield prefix + rest, node[rest]
+            elif type(node) is list:
+                prefix, children = prefix + node[0], node[1]
+                todo += [(prefix + bytes([c]), children[c]) for c in sorted(children, reverse=True) if c >= 0]
+                if -1 in children:
+                    yield prefix, children[-1]
+
+
+class Counts:
+    """The terms of a language in a task: a number for each, and how often each source has it."""
+
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.sources: dict[str, int] = {}
+        self._tokens: list[np.ndarray] = []
+        self._of: list[int] = []
+        self._docs: list[np.ndarray] = []
+        self.held = 0
+        self._keys, self._n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._in_docs = np.zeros(0, np.int64)
+
+    def add(self, source: str, pieces: Iterator[list[bytes]]) -> None:
+        """A document's terms, piece by piece."""
+        of, seen = self.sources.setdefault(source, len(self.sources)), []
+        for found in pieces:
+            own = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+            self._tokens.append(own)
+            self._of.append(of)
+            seen.append(np.unique(own))
+            self.held += len(own)
+            if self.held >= MOST_TOKENS:
+                self.settle()
+        self._docs.append(seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64))
+
+    def settle(self) -> None:
+        """Add the tokens held to the counters."""
+        if self._tokens:
+            keys = np.concatenate(self._tokens) << 32 | np.repeat(np.array(self._of, np.int64), [len(t) for t in self._tokens])
+            keys, n = np.unique(keys, return_counts=True)
+            both = np.concatenate([self._keys, keys])
+            self._keys, at = np.unique(both, return_inverse=True)
+            self._n = np.bincount(at, np.concatenate([self._n, n]), len(self._keys)).astype(np.int64)
+        if self._docs:
+            more = np.bincount(np.concatenate(self._docs), minlength=len(self.number))
+            more[: len(self._in_docs)] += self._in_docs
+            self._in_docs = more
+        self._tokens, self._of, self._docs, self.held = [], [], [], 0
+
+    def leaves(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The leaves of the terms' trie, in order; an empty term has the sources."""
+        self.settle()
+        names = pa.array(list(self.sources), pa.string())
+        zeros = pa.array([0] * len(names), pa.int64())
+        yield _leaves([lang], pa.array([b""], pa.binary()), [0], [0, len(names)], names, zeros)
+        trie = Trie()
+        for term, k in self.number.items():
+            trie.put(term, k)
+        first = np.searchsorted(self._keys >> 32, np.arange(len(self.number) + 1))
+        terms, order = [], []
+        for term, k in trie.walk():
+            terms.append(term)
+            order.append(k)
+        for lo in range(0, len(order), 8192):
+            own = np.array(order[lo : lo + 8192])
+            size = first[own + 1] - first[own]
+            at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+            entry = np.arange(at[-1]) + np.repeat(first[own] - at[:-1], size)
+            yield _leaves([lang] * len(own), pa.array(terms[lo : lo + 8192], pa.binary()), self._in_docs[own], at, names.take(pa.array(self._keys[entry] & 0xFFFFFFFF)), pa.array(self._n[entry]))
 
 
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-def _sent(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    """The leaves of a task's tries, in order."""
-    for lang, trie in tries.items():
-        rows = []
-        for term, (docs, counts) in trie.walk():
-            rows.append((term, docs, list(counts), list(counts.values())))
-            if len(rows) == 4096:
-                yield _leaves(lang, rows)
-                rows = []
-        if rows:
-            yield _leaves(lang, rows)
+def _leaves(lang: list[str], terms: pa.Array, docs, at, sources: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for x in (sources, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(lang), terms, pa.array(docs, pa.int64()), *lists], schema=_LEAF)
 
 
-def _leaves(lang: str, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([lang] * len(rows), *zip(*rows, strict=True)), _LEAF, strict=True)], schema=_LEAF)
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in which spaces are all that separates them, some PIECE bytes at a time."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE) if at + PIECE < len(text) else -1
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
 
 
 def count_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """``lang, term, docs, sources, counts``: the leaves of each task's tries. An empty term names the sources of a language."""
 
     def run(batches):
-        counted, within, tries = defaultdict(Counter), defaultdict(Counter), defaultdict(Trie)
-        seen: set[tuple[str, str]] = set()
-
-        def to_tries():
-            for (lang, source), terms in counted.items():
-                for term, n in terms.items():
-                    tries[lang].add(term, 0, ((source, n),))
-            for lang, terms in within.items():
-                for term, n in terms.items():
-                    tries[lang].leaf(term)[0] += n
-            counted.clear()
-            within.clear()
-
+        langs: defaultdict[str, Counts] = defaultdict(Counts)
         for batch in batches:
             for b in chunks(batch, "text"):
                 data, off = utf8(b.column("text"))
                 flat, off = data.tobytes().translate(_TERMS), off.tolist()
                 for lang, source, a, z in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), off, off[1:], strict=False):
-                    if (lang, source) not in seen:
-                        seen.add((lang, source))
-                        tries[lang].add(b"", 0, ((source, 0),))
-                    terms, own = set(), counted[lang, source]
-                    while a < z:
-                        end = flat.find(b" ", a + PIECE, z) if a + PIECE < z else z
-                        end = z if end < 0 else end
-                        found = flat[a:end].split()
-                        own.update(found)
-                        terms.update(found)
-                        a = end
-                    within[lang].update(terms)
-                if sum(map(len, counted.values())) >= MOST_COUNTED:
-                    to_tries()
-                if sum(t.size for t in tries.values()) >= MOST_LEAVES:
-                    yield from _sent(tries)
-                    tries.clear()
-        to_tries()
-        yield from _sent(tries)
+                    langs[lang].add(source, _pieces(flat[a:z]))
+                if sum(len(c.number) for c in langs.values()) >= MOST_LEAVES:
+                    for lang, c in langs.items():
+                        yield from c.leaves(lang)
+                    langs.clear()
+        for lang, c in langs.items():
+            yield from c.leaves(lang)
 
     texts = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = small_batches(docs).select(texts(lang_col).alias("lang"), texts(source_col).alias("source"), texts(text_col).alias("text"))
@@ -151,42 +202,69 @@ def count_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
 _BLOCK = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("leaf", pa.list_(pa.int32())), ("source", pa.list_(pa.int32())), ("count", pa.list_(pa.int64()))])
 
 
-def _block(lang: str, trie: Trie) -> pa.RecordBatch:
-    """A trie's kept terms in order, and the counters of their leaves; the sources of the language if it has the empty term."""
-    terms, at, totals, entries = [], {}, [], []
-    for term, (docs, counts) in trie.walk():
-        if term and docs < LEAST_DOCS:
-            continue
-        for source, n in counts.items():
-            k = at.setdefault(source, len(at))
-            totals += [0] * (k == len(totals))
-            totals[k] += n
-            if term:
-                entries.append((len(terms), k, n))
-        if term:
-            terms.append(term)
-    columns = [lang, terms, list(at), totals, *(map(list, zip(*entries, strict=True)) if entries else ([], [], []))]
-    return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
+def _merged(leaves: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Blocks of ordered leaves, of which those of a term are together: its documents and counters added up, rare terms left out."""
+    same = np.zeros(len(leaves), bool)
+    if len(leaves) > 1:
+        equal = [np.asarray(pc.equal(leaves.column(c).slice(1), leaves.column(c).slice(0, len(leaves) - 1))) for c in ("lang", "term")]
+        same[1:] = equal[0] & equal[1]
+    starts = np.flatnonzero(~same)
+    docs = np.add.reduceat(leaves.column("docs").to_numpy(), starts)
+    names = np.asarray(pc.equal(leaves.column("term").take(pa.array(starts)), b""))
+    keep = (docs >= LEAST_DOCS) | names
+    group = np.cumsum(~same) - 1
+    mask = keep[group]
+    rows, group = leaves.filter(pa.array(mask)), (np.cumsum(keep) - 1)[group[mask]]
+    if not len(rows):
+        return
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    lists = rows.column("sources").combine_chunks()
+    codes = lists.flatten().dictionary_encode()
+    source_names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+    counts = rows.column("counts").combine_chunks().flatten().to_numpy()
+    # A counter for each term and source, in order of the terms.
+    key, at = np.unique(np.repeat(group, lists.value_lengths().to_numpy()).astype(np.int64) * len(source_names) + code, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, at, counts)
+    owner, place = key // len(source_names), key % len(source_names)
+    langs, terms = rows.column("lang").take(pa.array(first)).to_pylist(), rows.column("term").take(pa.array(first)).to_pylist()
+    lo = 0
+    while lo < len(terms):
+        hi = lo + 1
+        while terms[lo] and hi < len(terms) and hi - lo < BLOCK_TERMS and langs[hi] == langs[lo] and terms[hi]:
+            hi += 1
+        own = slice(*np.searchsorted(owner, [lo, hi]))
+        used, where = np.unique(place[own], return_inverse=True)
+        sums = np.zeros(len(used), np.int64)
+        np.add.at(sums, where, total[own])
+        named = bool(terms[lo])
+        columns = [langs[lo], terms[lo:hi] * named, [source_names[k] for k in used], sums.tolist(), *((owner[own] - lo, where, total[own]) if named else ([], [], []))]
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
+        lo = hi
 
 
 def merge_ranges(leaves: DataFrame) -> DataFrame:
-    """Blocks of merged tries: ``lang, terms, sources, totals, leaf, source, count``.
+    """Blocks of merged tries: ``lang, terms, sources, totals, leaf, source, count``; without terms, the sources of a language.
 
-    Leaves are dealt out by ranges of language and term, so one task has all of a term's,
-    one from each trie of a task before, and merges them in order.
+    Leaves are dealt out by ranges of language and term and put in order, so the leaves that
+    tries have for a term are neighbours in one task, and there is one from each trie.
     """
 
     def run(batches):
-        lang, trie, last = None, Trie(), None
+        held, size = [], 0
         for b in batches:
-            for own, term, docs, sources, counts in zip(*(b.column(c).to_pylist() for c in _LEAF.names), strict=True):
-                if trie.size and (own != lang or trie.size >= BLOCK_TERMS and term != last):
-                    yield _block(lang, trie)
-                    trie = Trie()
-                lang, last = own, term
-                trie.add(term, docs, zip(sources, counts, strict=True))
-        if trie.size:
-            yield _block(lang, trie)
+            held.append(b)
+            size += b.num_rows
+            if size >= MERGED:
+                t = pa.Table.from_batches(held).combine_chunks()
+                # The last term's leaves may go on in the next batch.
+                last = pc.and_(*(pc.equal(t.column(c), t.column(c)[-1]) for c in ("lang", "term")))
+                cut = pc.index(last, True).as_py()
+                if cut:
+                    yield from _merged(t.slice(0, cut))
+                held, size = t.slice(cut).to_batches(), len(t) - cut if cut else 0
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield from _merged(t.combine_chunks())
 
     dealt = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").select(*_LEAF.names)
     return dealt.mapInArrow(run, "lang string, terms array<binary>, sources array<string>, totals array<bigint>, leaf array<int>, source array<int>, count array<bigint>")

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tessera.llm import divergence
 from tessera.llm.divergence import Trie
@@ -64,12 +65,12 @@ def test_small_blocks_and_tables(spark, monkeypatch):
     rows = [(k, " ".join(letters(prose(k % 5, 200))), "en", f"s{k % 3}", 1) for k in range(30)]
     table = spark.createDataFrame(rows, DOCS)
     usual = got(table)
-    for name, value in {"MOST_COUNTED": 50, "MOST_LEAVES": 60, "BLOCK_TERMS": 9, "MOST_CELLS": 8, "PIECE": 40}.items():
+    for name, value in {"BUCKET": 2, "MOST_TOKENS": 50, "MOST_LEAVES": 60, "MERGED": 11, "BLOCK_TERMS": 9, "MOST_CELLS": 8, "PIECE": 40}.items():
         monkeypatch.setattr(divergence, name, value)
 
     def in_process(self, run, schema):
-        # The functions of the tasks, on one batch of all rows, where the changed numbers hold.
-        batches = self.toArrow().to_batches()
+        # The functions of the tasks, on batches of all rows, where the changed numbers hold.
+        batches = self.toArrow().to_batches(7)
         out = [x for b in run(iter(batches)) for x in b.to_pylist()]
         return spark.createDataFrame(out, schema)
 
@@ -77,20 +78,30 @@ def test_small_blocks_and_tables(spark, monkeypatch):
     assert got(table) == usual == plain(rows)
 
 
-def test_trie_keeps_the_order_of_bytes():
-    r, trie, want = random.Random(2), Trie(), defaultdict(Counter)
-    for _ in range(5000):
-        term, source, n = bytes(r.choice(b"ab\xc3\xff") for _ in range(r.randrange(7))), r.choice("xyz"), r.randrange(4)
-        trie.add(term, 1, ((source, n),))
-        want[term][source] += n
-        want[term]["docs"] += 1
-    assert [(t, leaf[0], leaf[1]) for t, leaf in trie.walk()] == [(t, want[t].pop("docs"), dict(want[t])) for t in sorted(want)]
-    assert trie.size == len(want)
-    merged = Trie()
-    for part in (trie, trie):
-        for term, (docs, counts) in part.walk():
-            merged.add(term, docs, counts.items())
-    assert [(t, leaf[0], leaf[1]) for t, leaf in merged.walk()] == [(t, 2 * leaf[0], {s: 2 * n for s, n in leaf[1].items()}) for t, leaf in trie.walk()]
+@pytest.mark.parametrize("bucket", [divergence.BUCKET, 1, 3])
+def test_trie_keeps_the_order_of_bytes(monkeypatch, bucket):
+    monkeypatch.setattr(divergence, "BUCKET", bucket)
+    r, trie, want = random.Random(bucket), Trie(), {}
+    for k in range(6000):
+        term = r.choice([b"", b"common prefix of many ", b"common pre"]) * r.randrange(2) + bytes(r.choice(b"ab\xc3\xff") for _ in range(r.randrange(7)))
+        want[term] = k
+        trie.put(term, k)
+    assert list(trie.walk()) == sorted(want.items())
+
+
+def test_counters_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(divergence, "MOST_TOKENS", 37)
+    r, counts, docs, found = random.Random(2), divergence.Counts(), Counter(), defaultdict(Counter)
+    for _ in range(200):
+        source, pieces = r.choice("xyz"), [[r.choice([b"a", b"b", b"cc", b"\xc3\xa9"]) for _ in range(r.randrange(9))] for _ in range(r.randrange(4))]
+        counts.add(source, iter(pieces))
+        docs.update({t for p in pieces for t in p})
+        for p in pieces:
+            for t in p:
+                found[t][source] += 1
+    rows = [x for b in counts.leaves("l") for x in b.to_pylist()]
+    assert rows[0]["term"] == b"" and sorted(rows[0]["sources"]) == ["x", "y", "z"]
+    assert [(x["term"], x["docs"], dict(zip(x["sources"], x["counts"], strict=True))) for x in rows[1:]] == [(t, docs[t], dict(found[t])) for t in sorted(found)]
 
 
 def test_shares_are_exact():
