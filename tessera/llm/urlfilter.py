@@ -10,8 +10,10 @@ from .graph import connected_components
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: A tag, in which quoted values may hold >, and its attributes with values.
-TAG = r"""(?i)<(?:link|meta|base)(?=[\s/])(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+#: A tag, in which quoted values may hold < and >, and its attributes with values. A tag that is not closed ends at the next <.
+TAG = r"""(?i)<(?:link|meta|base)(?=[\s/])(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+#: What holds no links, whatever it looks like; to the end of the page where it is not closed.
+HIDDEN = r"""(?is)<!--.*?(?:-->|\z)|<(script|style|template)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"""
 ATTRIBUTE = r"""[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 #: What stands before the target of a refresh, and the target, quoted or not.
 TARGET = r"""(?is)^\s*(?:[\d.]*\s*[;,]?\s*\burl\s*=\s*|[\d.]+\s*[;,\s]\s*)(?:"([^"]*)"?.*|'([^']*)'?.*|([^"'].*))$"""
@@ -79,14 +81,19 @@ def _attribute(tag: Column, name: str) -> Column:
     return value
 
 
-def _tags(html: Column, kind: str) -> Column:
-    return F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(rf"(?i)^<{kind}[\s/]"))
+def link_tags(html: Column) -> Column:
+    """The link, meta and base tags of a page, in order; none of comments, scripts, styles and templates."""
+    return F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(TAG), F.lit(0))
 
 
-def html_targets(html: Column) -> Column:
-    """Targets of a page's canonical links and refreshes, as they are written."""
-    links = F.filter(_tags(html, "link"), lambda t: _attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
-    metas = F.filter(_tags(html, "meta"), lambda t: _attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$"))
+def _tags(tags: Column, kind: str) -> Column:
+    return F.filter(tags, lambda t: t.rlike(rf"(?i)^<{kind}[\s/]"))
+
+
+def html_targets(tags: Column) -> Column:
+    """Targets of a page's canonical links and refreshes, as they are written, from its ``link_tags``."""
+    links = F.filter(_tags(tags, "link"), lambda t: _attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
+    metas = F.filter(_tags(tags, "meta"), lambda t: _attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$"))
     goal = lambda c: F.concat(*(F.regexp_extract(c, TARGET, k) for k in (1, 2, 3)))
     return F.concat(F.transform(links, lambda t: _attribute(t, "href")), F.transform(metas, lambda t: goal(_attribute(t, "content"))))
 
@@ -112,11 +119,11 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str | None, redirect_co
     e = pages.where(F.col(url_col).contains("://")).select(*(F.col(c).alias(k) for k, c in named.items()))
     targets = []
     if html_col:
-        head, bases = F.lower("html"), F.filter(F.transform(_tags(F.col("html"), "base"), lambda t: _attribute(t, "href")), lambda x: x.isNotNull())
-        has = F.contains(head, F.lit("canonical")) | F.contains(head, F.lit("refresh"))
-        e = e.withColumn("base", F.when(has & F.contains(head, F.lit("<base")), F.get(bases, F.lit(0))))
-        e = e.withColumn("from", F.coalesce(resolve(F.col("base"), F.col("url")), F.col("url")))
-        targets.append(F.when(has, F.transform(html_targets(F.col("html")), lambda t: resolve(t, F.col("from")))).otherwise(F.array().cast("array<string>")))
+        # Pages without a word of these have no link to read.
+        e = e.withColumn("tags", F.when(F.col("html").rlike("(?i)canonical|refresh"), link_tags(F.col("html"))).otherwise(F.array().cast("array<string>")))
+        bases = F.filter(F.transform(_tags(F.col("tags"), "base"), lambda t: _attribute(t, "href")), lambda x: x.isNotNull())
+        e = e.withColumn("from", F.coalesce(resolve(F.get(bases, F.lit(0)), F.col("url")), F.col("url")))
+        targets.append(F.transform(html_targets(F.col("tags")), lambda t: resolve(t, F.col("from"))))
     if redirect_col:
         targets.append(F.array(resolve(F.col("hop"), F.col("url"))))
     e = e.select("url", F.explode(F.concat(*targets)).alias("to")).where("to is not null")
@@ -130,7 +137,8 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     by distributed label propagation. A url without a rule of its own is allowed if some
     alias has an allow rule, else blocked if some alias has a block rule, else allowed.
     A url's own rule always wins. Links are read from tags whatever their attributes' order,
-    quotes and spaces, relative ones resolved.
+    quotes and spaces, relative ones resolved; tags in comments, scripts, styles and
+    templates are none, and one that is not closed ends at the next ``<``.
 
     Null urls and urls without :// have an empty host and path, no rule and no aliases.
     Repeated rows get a row each.

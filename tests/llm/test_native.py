@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -215,6 +216,29 @@ def test_url_link_forms(spark):
     assert sorted(r.v for r in urlfilter.link_edges(hops, "url", None, "hop").collect()) == ["http://a.org/2", "http://a.org/x/1?a=1&amp;b"]
 
 
+def test_url_links_out_of_sight(spark):
+    """Comments, scripts, styles and templates hold no links; one that is not closed ends with the page. A tag that is not closed ends at the next."""
+    link = "<link rel=canonical href=/x>"
+    cases = [
+        (f"<!-- {link} -->", 0), (f"<!-- {link}", 0), (f"<script>s='{link}'</script>", 0), (f"<SCRIPT a=b>{link}</script >{link}", 1), (f"<style>{link}</style>{link}", 1), (f"<template>{link}", 0),
+        (f"<!-- a --> {link} <!-- b -->", 1), (f"<link a {link}", 1), (f"<meta x='1' <base {link}", 1), (f"<scripted>{link}", 1), ("<link rel=canonical title='a<b>' href=/y>", 1), (None, 0),
+    ]
+    rows = [(k, f"http://h{k}.org/p", html) for k, (html, _) in enumerate(cases)]
+    edges = urlfilter.link_edges(spark.createDataFrame(rows, "page_id bigint, url string, html string"), "url", "html", None)
+    found = Counter(r.u for r in edges.collect())
+    assert [found[f"http://h{k}.org/p"] for k in range(len(cases))] == [n for _, n in cases]
+
+
+@pytest.mark.parametrize("piece", ["<link a ", "<link a='", '<meta a="b ', "<link a=b<", "<!-- ", "<script ", "<script>", "<link " + "a " * 50, "<link rel='canonical' ", "</script <!--"])
+def test_url_time_grows_with_the_page(spark, piece):
+    """A megabyte of tags that are not closed takes seconds."""
+    html = "canonical " + piece * (1_000_000 // len(piece))
+    pages = spark.createDataFrame([(1, "http://a.org/", html)], "page_id bigint, url string, html string")
+    began = time.time()
+    assert urlfilter.link_edges(pages, "url", "html", None).count() == 0
+    assert time.time() - began < 15
+
+
 def test_url_block_follows_relative_links(spark):
     rows = [("http://a.org/x/1", '<meta content="0; url=\'../es/\'" http-equiv="refresh">'), ("http://a.org/es/", '<link rel="canonical" href="http://b.net/es/?a=1&amp;b=2">'), ("http://b.net/es/?a=1&b=2", None), ("http://a.org/es/2", None)]
     got = [r.verdict for r in sorted(urlfilter.judge_urls(_pages(spark, rows)).collect(), key=lambda r: r.page_id)]
