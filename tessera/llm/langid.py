@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from .arrays import chunks
 from .common import Scratch, held_out, small_batches
 
-#: Labelled texts to learn from, about so many for each language, chosen by a hash of their id.
+#: Labelled texts to learn from, about so many for each language, chosen by a hash of id and text.
 PER_LANG = 4_000
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Bytes of log probabilities that may be broadcast: 1,024 languages. A table with more is refused.
 MOST_BYTES = 128 << 20
+#: Characters whose n-grams are made at a time: texts in groups of about so many, longer ones in slices.
+SLICE = 1 << 17
 #: Languages whose counts a task or the driver holds at a time.
 TOGETHER = 64
 UNKNOWN = "und"
@@ -29,28 +31,49 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def ngrams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of texts: their buckets, the text of each, and which texts have a letter.
+def ngrams(low: list[str], again: list[int], buckets: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Hashed n-grams of slices of lower-cased texts: for each order the buckets and where each slice's begin; and which slices have a letter.
 
-    Texts are lower-cased; whatever is no letter counts as a space; n-grams do not span texts.
+    Whatever is no letter counts as a space; n-grams do not span slices. ``again`` says with
+    how many characters of the one before a slice begins, whose n-grams do not count again.
     """
-    low = [(t or "").lower() for t in texts]
     size = np.array([len(t) for t in low])
     raw = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = _letters()[raw]
     code = np.where(is_letter, raw, 32).astype(np.uint32)
-    owner = np.repeat(np.arange(len(low)), size)
-    lettered = np.bincount(owner[is_letter], minlength=len(low)) > 0
-    grams, owners = [], []
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(is_letter)])
+    out = []
     h = np.full(len(code), 0x811C9DC5, np.uint32)
     for n in range(1, max(ORDERS) + 1):
         h = (h[: len(code) - n + 1] ^ code[n - 1 :]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in ORDERS:
-            whole = owner[: len(h)] == owner[n - 1 :]
-            grams.append((((h + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(16)) & np.uint32(buckets - 1))[whole].astype(np.int32))
-            owners.append(owner[: len(h)][whole])
-    return np.concatenate(grams), np.concatenate(owners), lettered
+            # The n-grams of a slice end with its characters from the n-th on.
+            skip = np.maximum(np.array(again, np.int64), n - 1)
+            begin, end = first[:-1] + np.minimum(skip, size) - n + 1, first[1:] - n + 1
+            bucket = ((h + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int32) & (buckets - 1)
+            out.append((bucket, np.stack([begin, np.maximum(begin, end)])))
+    return out, seen[first[1:]] > seen[first[:-1]]
+
+
+def counted(texts: list[str | None], buckets: int):
+    """Slice after slice of the texts: the text, its buckets with their counts, and whether it has a letter."""
+    again = max(ORDERS) - 1
+    slices: list[tuple[int, str, int]] = []
+    held = 0
+    for k, t in enumerate([*texts, None]):
+        low = (t or "").lower()
+        for at in range(0, max(len(low), 1), SLICE):
+            if slices and (k == len(texts) or held + min(SLICE, len(low) - at) > SLICE):
+                grams, lettered = ngrams([s for _, s, _ in slices], [g for *_, g in slices], buckets)
+                for j, (owner, _, _) in enumerate(slices):
+                    n = np.bincount(np.concatenate([b[a:z] for b, (start, end) in grams for a, z in [(start[j], end[j])]]), minlength=buckets)
+                    own = np.flatnonzero(n)
+                    yield owner, own, n[own], bool(lettered[j])
+                slices, held = [], 0
+            slices.append((k, low[max(0, at - again) : at + SLICE], min(again, at)))
+            held += min(SLICE, len(low) - at)
 
 
 @dataclass
@@ -62,12 +85,11 @@ class NaiveBayes:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Most likely languages (the first by name of equals) and their posterior probabilities."""
-        buckets = len(self.logp)
-        g, owner, lettered = ngrams(texts, buckets)
-        total = np.tile(self.prior, (len(texts), 1))
-        # Counts by text and bucket are a sparse matrix; each of its entries adds its row of the log-probability matrix.
-        for k in range(len(self.langs)):
-            total[:, k] += np.bincount(owner, self.logp[:, k][g], len(texts))
+        total, lettered = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts), bool)
+        # A text's counts are a sparse row, whose entries weigh rows of the log-probability matrix.
+        for k, own, n, letter in counted(texts, len(self.logp)):
+            total[k] += n @ self.logp[own]
+            lettered[k] |= letter
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = total.argmax(1)
@@ -79,7 +101,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Count n-grams of labelled texts that are not held out.
 
     The prior comes from all of them, the counts from about ``per_lang`` of each language,
-    picked by a hash of the id. What reaches the driver is a count for each language and
+    picked by a hash of id and text, so that rows with null or repeated ids stand apart;
+    rows that repeat both are learned from together or not at all. What reaches the driver is a count for each language and
     bucket, TOGETHER languages at a time. ValueError if the model passes MOST_BYTES: so many
     values of a language column are no languages.
     """
@@ -94,7 +117,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if not langs:
         return NaiveBayes([], np.zeros(0), np.zeros((buckets, 0), np.float32))
     rate = spark.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in share.items()], "lang string, rate double")
-    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit.alias("unit")).join(F.broadcast(rate), "lang").where("unit < rate")
     sample = sample.select("lang", "text")
 
@@ -109,17 +132,17 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
         for batch in batches:
             for b in chunks(batch, "text"):
-                names = np.array(b.column("lang").to_pylist(), object)
-                texts = b.column("text").to_pylist()
-                for lang in dict.fromkeys(names):
-                    if lang not in seen and len(seen) == TOGETHER:
-                        yield from out()
-                    g, _, _ = ngrams([t for t, n in zip(texts, names, strict=True) if n == lang], buckets)
-                    seen[lang] = seen.get(lang, 0) + np.bincount(g, minlength=buckets)
+                names = b.column("lang").to_pylist()
+                for k, own, n, _ in counted(b.column("text").to_pylist(), buckets):
+                    if names[k] not in seen:
+                        if len(seen) == TOGETHER:
+                            yield from out()
+                        seen[names[k]] = np.zeros(buckets, np.int64)
+                    seen[names[k]][own] += n
         yield from out()
 
     counts = scratch.save(small_batches(sample).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
-    logp = np.zeros((buckets, len(langs)), np.float32, "F")
+    logp = np.zeros((buckets, len(langs)), np.float32)
     for at in range(0, len(langs), TOGETHER):
         part = langs[at : at + TOGETHER]
         rows = counts.where(F.col("lang").isin(part)).toPandas()

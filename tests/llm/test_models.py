@@ -89,6 +89,14 @@ def test_language_held_out_accuracy(spark):
     assert np.mean(right) > 0.9
 
 
+def grams(text):
+    """Counts of a text's n-grams by bucket."""
+    out = np.zeros(langid.BUCKETS)
+    for _, own, n, _ in langid.counted([text], langid.BUCKETS):
+        out[own] += n
+    return out
+
+
 def test_naive_bayes_equals_plain_counts(spark):
     rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("aab b", "x"), ("bba!", "y"), ("abc", "x"), ("ccc a", "y"), ("bb", "x"), ("cab", "y")])]
     model = langid.train(spark.createDataFrame(rows, DOCS))
@@ -98,12 +106,12 @@ def test_naive_bayes_equals_plain_counts(spark):
         count = np.ones(langid.BUCKETS)
         for r in known:
             if r[2] == lang:
-                np.add.at(count, langid.ngrams([r[1]], langid.BUCKETS)[0], 1)
+                count += grams(r[1])
         assert np.allclose(model.logp[:, k], np.log(count / count.sum()), atol=1e-5)
         assert model.prior[k] == pytest.approx(np.log(sum(r[2] == lang for r in known) / len(known)))
     texts = ["aab", "ccb"]
     for t, name, score in zip(texts, *model.predict(texts), strict=True):
-        z = model.prior + model.logp[langid.ngrams([t], langid.BUCKETS)[0]].sum(0)
+        z = model.prior + grams(t) @ model.logp
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert name == model.langs[p.argmax()] and score == pytest.approx(p.max(), abs=1e-5)
 
@@ -118,18 +126,42 @@ def test_languages_are_counted_some_at_a_time(spark, monkeypatch):
     assert np.array_equal(parts.logp, whole.logp) and np.array_equal(parts.prior, whole.prior)
 
 
-def test_ngrams_equal_plain_ones():
-    """Each run of one to three characters counts once, letters in lower case and all else as a space, in its own bucket."""
-    bucket = lambda g: int(langid.ngrams([g], langid.BUCKETS)[0][-1])
+@pytest.mark.parametrize("size", [langid.SLICE, 1, 2, 3, 7])
+def test_ngrams_equal_plain_ones(monkeypatch, size):
+    """Each run of one to three characters counts once, letters in lower case and all else as a space, in its own bucket; slices change nothing."""
+    bucket = lambda g: int(np.flatnonzero(grams(g) - grams(g[:-1]) - grams(g[1:]) + grams(g[1:-1]))[0])
     texts = ["Aab b!", "", None, "Ünï  ÇÖDÉ 中文 \U0001f600x", "a", "zz9 zz"]
-    got, owner, lettered = langid.ngrams(texts, langid.BUCKETS)
-    for i, t in enumerate(texts):
-        low = "".join(c if c.isalpha() else " " for c in (t or "").lower())
-        want = Counter(bucket(low[a : a + n]) for n in (1, 2, 3) for a in range(len(low) - n + 1))
-        assert Counter(got[owner == i].tolist()) == want and lettered[i] == any(c.isalpha() for c in low)
+    low = ["".join(c if c.isalpha() else " " for c in (t or "").lower()) for t in texts]
+    want = [Counter(bucket(s[a : a + n]) for n in (1, 2, 3) for a in range(len(s) - n + 1)) for s in low]
+    monkeypatch.setattr(langid, "SLICE", size)
+    got, lettered = [Counter() for _ in texts], [False] * len(texts)
+    for k, own, n, letter in langid.counted(texts, langid.BUCKETS):
+        got[k].update(dict(zip(own.tolist(), n.tolist(), strict=True)))
+        lettered[k] |= letter
+    assert got == want and lettered == [any(c.isalpha() for c in s) for s in low]
     assert len({bucket(g) for g in ("ab", "ba", "a", "aa", "aaa", "a b", " ab")}) == 7
 
 
+def test_languages_of_rows_without_ids(spark):
+    """Rows with null ids are drawn apart, as are those that repeat an id."""
+    rows = [(None, f"das ist der text nummer {i} und mehr", "de", "s", 0) for i in range(9000)] + [(7, f"this is the text number {i} and more", "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = langid.identify(docs, per_lang=500).groupBy("id", "lang_pred").count().collect()
+    assert {(r.id, r.lang_pred): r["count"] for r in out} == {(None, "de"): 9000, (7, "en"): 3000}
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = "Ein langer Text, ohne Ende. " * 100_000
+    tracemalloc.start()
+    for _ in langid.counted([text], langid.BUCKETS):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+
+
 def test_language_ties_and_too_many(spark, monkeypatch):
     rows = [(i, "same words", lang, "s", 0) for i in range(40) for lang in ("y", "x")]
     out = langid.identify(spark.createDataFrame(rows, DOCS)).collect()
