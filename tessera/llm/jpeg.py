@@ -129,12 +129,18 @@ def _units(f: Frame) -> list[tuple[int, int, int]]:
     return [(k, v, h) for k, c in enumerate(f.components.values()) for v in range(c.down) for h in range(c.across)]
 
 
-def coefficients(f: Frame) -> list[np.ndarray]:
-    """Each component's coefficients in the scan's order, not yet scaled: (blocks down, blocks across, 64)."""
+def coefficients(f: Frame, keep: int = 64) -> list[np.ndarray]:
+    """Each component's first coefficients in the scan's order, not yet scaled: (blocks down, blocks across, keep).
+
+    ValueError if the scan has too few bits for the frame's blocks, before room for them is made.
+    """
     comps = list(f.components.values())
     if len(comps) == 1:
         comps[0].across = comps[0].down = 1
-    out = [np.zeros((*f.size(c), 64), np.int32) for c in comps]
+    # A block has two codes at least, of a bit each.
+    if sum(a * b for a, b in map(f.size, comps)) > 4 * len(f.scan):
+        raise ValueError("a scan that ends early")
+    out = [np.zeros((*f.size(c), keep), np.int32) for c in comps]
     unit, per_row = _units(f), -(-f.width // (8 * max(c.across for c in comps)))
     total = per_row * -(-f.height // (8 * max(c.down for c in comps)))
     tables = [(_lookup(f.codes[c.dc]), _lookup(f.codes[c.ac])) if c.dc in f.codes and c.ac in f.codes else None for c in comps]
@@ -182,7 +188,8 @@ def coefficients(f: Frame) -> list[np.ndarray]:
                     if i == 0:
                         before[k] += value
                         value = before[k]
-                    block[i] = value
+                    if i < keep:
+                        block[i] = value
                     i += 1
             done += 1
     if done < total:
@@ -211,5 +218,5 @@ def block_means(image: bytes) -> np.ndarray:
     """The mean brightness of the first component's blocks, from their first coefficients."""
     f = parse(image)
     first = next(iter(f.components.values()))
-    dc = coefficients(f)[0][..., 0] * f.quants[first.quant][0]
+    dc = coefficients(f, 1)[0][..., 0] * f.quants[first.quant][0]
     return np.clip(np.round(dc / 8 + 128), 0, 255).astype(np.uint8).ravel()

@@ -141,7 +141,7 @@ def _parts(data: bytes, at: int, end: int) -> list[tuple[bytes, int, int]]:
 
 
 def _indexed(data: bytes, stream: int, movi: int, idx1: tuple[int, int] | None, supers: list[tuple[int, int]]) -> list[bytes]:
-    """The frames that the file's index lists: an OpenDML one, else idx1, whose offsets count from ``movi`` or from the file's start."""
+    """The frames that the file's index lists, empty where it repeats the one before: an OpenDML one, else idx1, whose offsets count from ``movi`` or from the file's start."""
     out = []
     for at, _ in supers:
         for entries, base in _standard(data, at):
@@ -184,25 +184,33 @@ def read_avi(data: bytes) -> Video:
         if at is None or data[at : at + 4] != b"vids":
             continue
         scale, rate = struct.unpack_from("<II", data, at + 20)
+        if not rate:
+            raise ValueError("a stream without a rate")
         if data[at + 4 : at + 8].upper() != b"MJPG" or not scale:
             break
         supers = [(a, n) for name, a, n in parts if name == b"indx"]
         if b"idx1" not in found and not supers:
             raise ValueError("an AVI file without index")
-        return Video(rate / scale, [i for i in _indexed(data, k, found[b"movi"][0] - 4, found.get(b"idx1"), supers) if i])
+        return Video(rate / scale, _indexed(data, k, found[b"movi"][0] - 4, found.get(b"idx1"), supers))
     raise ValueError("not motion JPEG")
 
 
 def brightness(video: Video) -> np.ndarray:
-    """The mean brightness of each frame's blocks, a row for each frame; ValueError if a frame is damaged or of another size."""
-    if not video.images:
+    """The mean brightness of each frame's blocks, a row for each frame; ValueError if a frame is damaged or of another size.
+
+    An empty frame is the one before it once more, or the first one if none is before it.
+    """
+    images = [i for i in video.images if i]
+    if not images:
         return np.zeros((0, UNITS), np.uint8)
-    if all(i.startswith(_frame_head()) for i in video.images):
-        return decode_frames(video.images)
-    rows = [block_means(i) for i in video.images]
-    if len({len(r) for r in rows}) > 1:
-        raise ValueError("frames of several sizes")
-    return np.stack(rows)
+    if all(i.startswith(_frame_head()) for i in images):
+        frames = decode_frames(images)
+    else:
+        rows = [block_means(i) for i in images]
+        if len({len(r) for r in rows}) > 1:
+            raise ValueError("frames of several sizes")
+        frames = np.stack(rows)
+    return frames[np.maximum(np.cumsum([bool(i) for i in video.images]) - 1, 0)]
 
 
 # ---- shots ----------------------------------------------------------------------------
@@ -285,8 +293,9 @@ def clips(media: DataFrame, *, id_col: str = "id", media_col: str = "media") ->
     Any baseline frames are read, with the tables of the file or, where it has none, the
     standard's; brightness is that of the first component's blocks, from their first
     coefficients. A null, a damaged file, one without frames or another kind of file gives
-    one row with the reason in ``status`` and nulls; others have ``ok``. Rows that repeat an
-    id give theirs each, an empty table none.
+    one row with the reason in ``status`` and nulls; others have ``ok``. An entry of size 0
+    in a file's index is the frame before once more. Rows that repeat an id give theirs
+    each, an empty table none.
     """
 
     def run(batches):
@@ -298,8 +307,8 @@ def clips(media: DataFrame, *, id_col: str = "id", media_col: str = "media") ->
                     frames = brightness(video)
                     if not len(frames):
                         raise ValueError("a file without frames")
-                except (ValueError, IndexError, struct.error) as e:
-                    rows.append((name, None, None, None, None, None, None, str(e)))
+                except (ValueError, LookupError, ArithmeticError, MemoryError, struct.error) as e:
+                    rows.append((name, None, None, None, None, None, None, str(e) or type(e).__name__))
                     continue
                 starts = cuts(frames)
                 for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True)):

@@ -1,5 +1,6 @@
 """Baseline JPEG and AVI files of other encoders, built by hand here."""
 
+import random
 import struct
 
 import numpy as np
@@ -160,6 +161,51 @@ def test_damaged_frames_give_a_reason(spoil):
         jpeg.planes(spoil(_shade(50)))
 
 
+@pytest.mark.parametrize("kind", [{}, {"absolute": True}, {"opendml": True}])
+def test_repeated_frames_keep_the_time(spark, kind):
+    """An entry of size 0 shows the frame before once more."""
+    file = _avi(([_shade(20)] + [b""]) * 10 + ([_shade(200)] + [b"", b""]) * 5, **kind)
+    first = _avi([b"", b"", _shade(20)], **kind)
+    rows = spark.createDataFrame([(1, bytearray(file)), (2, bytearray(first))], "id bigint, media binary")
+    out = sorted(map(tuple, media.clips(rows).collect()))
+    assert [r[:6] for r in out] == [(1, 0, 0, 20, 0.0, 1.6), (1, 1, 20, 15, 1.6, 2.8), (2, 0, 0, 3, 0.0, 0.24)] and {r[7] for r in out} == {"ok"}
+
+
+def test_files_that_claim_what_they_lack(spark):
+    """No rate, a frame of 65,535 by 65,535, only repeats: a reason each, and the job goes on."""
+    file = _avi([_shade(20)] * 3)
+    at = file.index(b"vids") + 24
+    sof = file.index(b"\xff\xc0")
+    huge = _avi([_shade(20)[: (s := _shade(20).index(b"\xff\xc0")) + 5] + b"\xff" * 4 + _shade(20)[s + 9 :]])
+    bad = [file[:at] + bytes(4) + file[at + 4 :], file[: at - 4] + bytes(4) + file[at:], huge, _avi([b"", b""]), file[: sof + 12]]
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate([*bad, file])], "id bigint, media binary")
+    out = sorted(map(tuple, media.clips(rows).collect()))
+    assert [r[0] for r in out] == [0, 1, 2, 3, 4, 5] and all(r[1] is None and r[7] != "ok" for r in out[:5]) and out[5][7] == "ok"
+
+
+def test_no_damage_fails_the_job(spark):
+    """Bytes of a valid file are changed, cut out and doubled at random."""
+    r, files = random.Random(8), []
+    for kind in ({}, {"absolute": True}, {"opendml": True}):
+        whole = _avi([_shade(20), b"", _shade(90), _shade(200)], **kind)
+        for _ in range(400):
+            file = bytearray(whole)
+            for _ in range(r.choice([1, 2, 8])):
+                a = r.randrange(len(file))
+                kind_ = r.randrange(4)
+                if kind_ == 0:
+                    file[a] = r.choice([0, 255, r.randrange(256)])
+                elif kind_ == 1:
+                    file[a : a + 4] = r.choice([b"\xff" * 4, bytes(4), b"\xff\xff\xff\x7f"])
+                elif kind_ == 2:
+                    del file[a : a + r.randrange(9)]
+                else:
+                    file[a:a] = file[a : a + r.randrange(40)]
+            files.append(bytes(file))
+    rows = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)], "id bigint, media binary").repartition(4)
+    assert {x.id for x in media.clips(rows).select("id").collect()} == set(range(len(files)))
+
+
 def test_clips_query_equals_plain_shots(spark):
     from tessera.llm.queries import QUERIES
 
