@@ -11,9 +11,10 @@ import pytest
 
 import __spark_entry__
 from tessera.operators.temporal import asof_join, interval_join, micros, sessions
-from tessera.plans.relational import ORACLE, QUERIES
+from tessera.plans import analytics, relational
 from tessera.streaming.windows import run_to_table, tumbling_counts
 
+QUERIES, ORACLE = relational.QUERIES | analytics.QUERIES, relational.ORACLE | analytics.ORACLE
 SF, REPO = "/root/testdata/sf0.001", Path(__file__).resolve().parents[1]
 
 
