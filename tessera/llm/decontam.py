@@ -15,8 +15,10 @@ from .common import small_batches
 
 #: Edits allowed per hundred words of an item; items below SHORT words allow none.
 EDITS_PERCENT, SHORT = 20, 10
-#: Random walks, the most bit samples for each walk, and positions in a sample.
-WALKS, SAMPLES, POSITIONS = 4, 16, 3
+#: Random walks, bit samples for each walk, and positions in a sample, at most.
+WALKS, SAMPLES, POSITIONS = 4, 64, 3
+#: Samples up to which a key takes more positions rather than fewer.
+FEW_SAMPLES = 16
 #: Share of passages with the most edits that keys should find; the others are found by grams.
 TARGET_RECALL = 0.95
 #: Items and bytes of their texts in one pass over the documents; more take more passes.
@@ -77,44 +79,57 @@ def embed(x: np.ndarray, walk: int) -> np.ndarray:
     return out
 
 
+def stride(k: int) -> int:
+    """Words between windows for items with k edits: far fewer than the edits, so that a passage is not much farther from a window than from the item."""
+    return max(1, k // 8)
+
+
 @cache
-def samples_for(n: int, target_recall: float) -> int:
-    """Samples of each walk for which keys find so many of the passages with the most edits.
+def scheme_for(n: int, target_recall: float) -> tuple[int, int]:
+    """Positions in a sample and samples of each walk for which keys find so many of the passages with the most edits.
 
     The agreement of embeddings is measured on random strings about as long, their edited
-    copies shifted as far as windows lie from a passage. SAMPLES at most: for long items
-    with many edits that falls short of the target, and grams find more.
+    copies shifted as far as windows lie from a passage. The more of it is lost, the fewer
+    positions a key takes; a key of one is weak, but windows have passed the filter of grams.
     """
     n = min(1 << (n - 1).bit_length(), 1 << 12)
     k, rng = edits(n), np.random.default_rng(n)
     if not k:
-        return 1
-    a, b = rng.integers(1, 1 << 60, (16, n), dtype=_U), np.zeros((16, n), _U)
+        return POSITIONS, 1
+    rows = max(4, min(32, 8192 // n))
+    a, b = rng.integers(1, 1 << 60, (rows, n), dtype=_U), np.zeros((rows, n), _U)
     for row, out in zip(a, b, strict=True):
         edited = []
         for w, kind in zip(row, rng.permutation(np.concatenate([rng.integers(1, 4, k), np.zeros(n - k, np.int64)])), strict=True):
             # 1 replaces a word, 2 puts another before it, 3 leaves it out.
             edited += [rng.integers(1, 1 << 60, dtype=_U)] * (kind in (1, 2)) + [w] * (kind in (0, 2))
-        edited = edited[k // 4 :][:n]
+        edited = edited[stride(k) // 2 :][:n]
         out[: len(edited)] = edited
     agree = np.stack([(embed(a, w) == embed(b, w)).mean(1) for w in range(WALKS)])
-    miss = np.prod(1 - agree**POSITIONS, axis=0)
-    return next((s for s in range(1, SAMPLES) if (miss**s).mean() <= 1 - target_recall), SAMPLES)
-
-
-def sample_keys(x: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """A key for each row, walk and sample of positions; shape (rows, WALKS * samples)."""
+    for positions in range(POSITIONS, 0, -1):
+        miss = np.prod(1 - agree**positions, axis=0)
+        for samples in range(1, (FEW_SAMPLES if positions > 1 else SAMPLES) + 1):
+            if (miss**samples).mean() <= 1 - target_recall:
+                return positions, samples
+    return 1, SAMPLES
+
+
+def walk_keys(y: np.ndarray, n: int, walk: int, scheme: tuple[int, int]) -> list[np.ndarray]:
+    """A key for each sample of positions of a walk over strings of n words, from its embeddings."""
+    positions, samples = scheme
+    rng, keys = np.random.default_rng((n, walk)), []
+    for s in range(samples):
+        h = np.full(len(y), walk * SAMPLES + s + 1, _U)
+        for p in rng.integers(0, 2 * n, positions):
+            h = mix64(h * _U(0xD6E8FEB86659FD93) ^ y[:, p])
+        keys.append(h)
+    return keys
+
+
+def sample_keys(x: np.ndarray, scheme: tuple[int, int]) -> np.ndarray:
+    """A key for each row, walk and sample; shape (rows, WALKS * samples)."""
     n = x.shape[1]
-    keys = []
-    for walk in range(WALKS):
-        y = embed(x, walk)
-        rng = np.random.default_rng((n, walk))
-        for s in range(samples):
-            h = np.full(len(x), walk * SAMPLES + s + 1, _U)
-            for p in rng.integers(0, 2 * n, POSITIONS):
-                h = mix64(h * _U(0xD6E8FEB86659FD93) ^ y[:, p])
-            keys.append(h)
-    return np.stack(keys, axis=1)
+    return np.stack([k for walk in range(WALKS) for k in walk_keys(embed(x, walk), n, walk, scheme)], axis=1)
 
 
 def edit_distances(items: np.ndarray, texts: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +162,7 @@ class Index:
     keys: dict[int, tuple[np.ndarray, np.ndarray]]
     grams: dict[int, np.ndarray]
     owners: dict[int, np.ndarray]
-    samples: dict[int, int]
+    schemes: dict[int, tuple[int, int]]
     #: Hashes of items of fewer words than a gram, in order, and their rows.
     short: dict[int, tuple[np.ndarray, np.ndarray]]
     table: np.ndarray
@@ -182,15 +197,15 @@ def build(ids: list[int | None], texts: list[str | None], target_recall: float =
     size = max(1 << 16, 1 << int(64 * len(g) - 1).bit_length())
     table = np.zeros(size, bool)
     table[(g >> _U(20)).astype(np.int64) & (size - 1)] = True
-    keys, samples = {}, {}
+    keys, schemes = {}, {}
     for n in own:
-        samples[n] = samples_for(n, target_recall)
-        k = sample_keys(strings[n], samples[n])
+        schemes[n] = scheme_for(n, target_recall)
+        k = sample_keys(strings[n], schemes[n])
         order = np.argsort(k.ravel(), kind="stable")
         keys[n] = (k.ravel()[order], order // k.shape[1])
     taken = set(ids)
     null = next(i for i in range(-(1 << 63), 1 << 63) if i not in taken)
-    return Index({n: np.array([null if ids[k] is None else ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, samples, short, table, null)
+    return Index({n: np.array([null if ids[k] is None else ids[k] for k in ks], np.int64) for n, ks in by.items()}, strings, keys, own, owners, schemes, short, table, null)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -214,7 +229,7 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     A run of words within k edits of an item of n words shares at least n - 2 - 3 k runs of
     three words with it, among the n + k words from its start; places with fewer from the
     items of that size are passed over, which loses nothing. Elsewhere windows of n words are
-    embedded and looked up, one at every k / 2 words of a text, and the words around those
+    embedded and looked up, one at every ``stride`` words of a text, and the words around those
     that an item's key finds are verified. Keys miss passages; so wherever a single item
     shares enough runs for fewer edits than its keys have found in the text, the words there
     are verified as well. The result is that of verifying every item in every text.
@@ -234,9 +249,10 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
         same = (h[at[:, None] + np.arange(n)] == index.strings[n][item]).all(1)
         at, item = at[same], item[same]
         found.append((at, index.ids[n][item], np.full(len(at), n), np.zeros(len(at), np.int64)))
+    windows, places = {}, {}
     for n, known in index.grams.items() if len(hit) else ():
         k = edits(n)
-        step = max(1, k // 2)
+        step = stride(k)
         least = n - GRAM + 1 - GRAM * k
         own = hit[np.isin(g[hit], known)]
         own = own[_dense(own, doc, least, n + k - GRAM)]
@@ -247,13 +263,10 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
         at = _ranges(low, own - low + 1)
         at = at[(at - first[doc[at]]) % step == 0]
         shared = np.searchsorted(own, np.minimum(at + n + k, end[at]) - GRAM, side="right") - np.searchsorted(own, at)
-        at = at[shared >= least - (step - 1)]
-        per = max(1, MATCH_WORDS // n)
-        keyed = []
-        for lo in range(0, len(at), per):
-            part = at[lo : lo + per]
-            keyed += _match(index, h, part, first[doc[part]], end, n)
-        for at, item, dist in keyed + _missed(index, h, g, own, first, doc, end, n, keyed):
+        windows[n], places[n] = at[shared >= least - (step - 1)], own
+    keyed = _match(index, h, windows, first, doc, end)
+    for n, own in places.items():
+        for at, item, dist in keyed[n] + _missed(index, h, g, own, first, doc, end, n, keyed[n]):
             found.append((at, index.ids[n][item], np.minimum(n, end[at] - at), dist))
     if not found:
         empty = np.zeros(0, np.int64)
@@ -266,20 +279,40 @@ def search(index: Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     return text[new], item[new], (at - first[text])[new], n[new], dist[new]
 
 
-def _match(index: Index, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> list[tuple]:
-    """Verified matches of the windows that begin at ``at`` with items of n words: first word, item, distance."""
-    k = edits(n)
-    keys, owner = index.keys[n]
-    cols = at[:, None] + np.arange(n)
-    mine = sample_keys(np.where(cols < end[at][:, None], h[np.minimum(cols, len(h) - 1)], _U(0)), index.samples[n])
-    lo, hi = np.searchsorted(keys, mine.ravel()), np.searchsorted(keys, mine.ravel(), side="right")
-    count = hi - lo
-    row = np.repeat(np.arange(len(count)) // mine.shape[1], count)
-    slot = _ranges(lo, count)
-    pairs = np.unique(np.stack([row, owner[slot]], axis=1), axis=0) if len(slot) else np.zeros((0, 2), np.int64)
-    w, i = pairs.T
-    start = np.maximum(at - k, begin)[w]
-    return _verify(index, h, start, at[w] - start + k, end[at[w]], i, n, n + 3 * k + 1)
+def _match(index: Index, h: np.ndarray, windows: dict[int, np.ndarray], first: np.ndarray, doc: np.ndarray, end: np.ndarray) -> dict[int, list[tuple]]:
+    """Verified matches of windows with items, by their number of words: first word, item, distance.
+
+    Windows of about as many words are embedded together: a string's walk is the same
+    whatever zeros follow it.
+    """
+    out = {n: [] for n in windows}
+    for most in sorted({1 << (n - 1).bit_length() for n in windows}):
+        sizes = [n for n in sorted(windows) if 1 << (n - 1).bit_length() == most]
+        all_at, all_n = np.concatenate([windows[n] for n in sizes]), np.repeat(sizes, [len(windows[n]) for n in sizes])
+        per = max(1, MATCH_WORDS // most)
+        for lo in range(0, len(all_at), per):
+            at, size = all_at[lo : lo + per], all_n[lo : lo + per]
+            wide = int(size.max())
+            cols = at[:, None] + np.arange(wide)
+            x = np.where(cols < np.minimum(at + size, end[at])[:, None], h[np.minimum(cols, len(h) - 1)], _U(0))
+            rows = {n: slice(*np.searchsorted(size, [n, n + 1])) for n in np.unique(size).tolist()}
+            mine = {n: [] for n in rows}
+            for walk in range(WALKS):
+                y = embed(x, walk)
+                for n, own in rows.items():
+                    mine[n] += walk_keys(y[own], n, walk, index.schemes[n])
+            for n, own in rows.items():
+                keys, owner = index.keys[n]
+                looked = np.stack(mine[n], axis=1)
+                low = np.searchsorted(keys, looked.ravel())
+                count = np.searchsorted(keys, looked.ravel(), side="right") - low
+                pairs = np.repeat(np.arange(len(count)) // looked.shape[1], count) * len(index.strings[n]) + owner[_ranges(low, count)]
+                w, item = np.divmod(np.unique(pairs), len(index.strings[n]))
+                begin = at[own][w]
+                k = edits(n)
+                start = np.maximum(begin - k, first[doc[begin]])
+                out[n] += _verify(index, h, start, begin - start + k, end[begin], item, n, n + 3 * k + 1)
+    return out
 
 
 def _verify(index: Index, h: np.ndarray, start: np.ndarray, lead: np.ndarray, end: np.ndarray, item: np.ndarray, n: int, width: int) -> list[tuple]:
