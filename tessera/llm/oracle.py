@@ -2,6 +2,7 @@
 
 from .chat import BLOCK
 from .mixing import TOP_CLASS
+from .oracle_simhash import OP11
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -212,4 +213,4 @@ SELECT lang, source, 'pair' AS part, item, value, {_RANK} FROM pair
 UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {_RANK} FROM term) WHERE rank <= 200
 """
 
-ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op3_minhash_neardup": OP3, "op5_secret_scan": OP5, "op7_url_filter": OP7, "op10_mixing": OP10, "op12_merkle_manifest": OP12, "op13_source_divergence": OP13}
+ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op3_minhash_neardup": OP3, "op5_secret_scan": OP5, "op7_url_filter": OP7, "op10_mixing": OP10, "op11_simhash_pivots": OP11, "op12_merkle_manifest": OP12, "op13_source_divergence": OP13}
