@@ -87,8 +87,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, by: str, on: str,
     s = intervals.select(F.col(by).alias("key"), micros(intervals, start).alias("a"), micros(intervals, end).alias("z"), F.struct("*").alias("span")).where("key is not null and a < z")
     length = (F.col("z") - F.col("a")) / (width_seconds * MICROS)
     s = s.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(length) / math.log(MOST_PIECES)) - 1).cast("int"))
-    s = s.withColumn("piece", F.explode(F.sequence(piece(F.col("a")), piece(F.col("z") - 1))))
+    # Ten numbers at most, taken before intervals are cut into pieces.
     levels = [r.level for r in s.select("level").distinct().collect()]
+    s = s.withColumn("piece", F.explode(F.sequence(piece(F.col("a")), piece(F.col("z") - 1))))
     p = points.select(F.col(by).alias("key"), micros(points, on).alias("t"), F.struct("*").alias("point"))
     p = p.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("piece", piece(F.col("t")))
     return p.join(s, ["key", "level", "piece"]).where("t >= a and t < z").select("point", "span")
