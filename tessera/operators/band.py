@@ -17,7 +17,7 @@ PLACE, MOST_CELLS, MOST_COPIES = 4096, 256, 64
 Band = tuple[float | None, float | None]
 
 
-def _edges(column: DataFrame, cells: int) -> list:
+def depth_edges(column: DataFrame, cells: int) -> list:
     """Bounds between cells that hold about as many values each; distinct, ascending."""
     if cells < 2:
         return []
@@ -25,7 +25,7 @@ def _edges(column: DataFrame, cells: int) -> list:
     return sorted(set(found or []))
 
 
-def _cell(value: Column, edges: list, kind: str) -> Column:
+def cell_of(value: Column, edges: list, kind: str) -> Column:
     """How many edges are at or below a value: a search by halves, so that a cell costs few comparisons."""
     if not edges:
         return F.lit(0)
@@ -72,18 +72,18 @@ def band_join(left: DataFrame, right: DataFrame, *, x: tuple[str, str, Band], y:
 
     cells = min(MOST_CELLS, max(1, math.ceil(math.sqrt(max(ls.count(), rs.count()) / PLACE))))
     some = [rs.agg(F.percentile_approx(c, [k / 32 for k in range(1, 32)], 1000)).first()[0] or [] for c in ("x", "y")]
-    grid = [_edges(ls.select("x"), cells), _edges(ls.select("y"), cells)]
+    grid = [depth_edges(ls.select("x"), cells), depth_edges(ls.select("y"), cells)]
     while (n := [_copies(e, b, v) for e, b, v in zip(grid, (bx, by), some, strict=True)]) and n[0] * n[1] > MOST_COPIES and max(map(len, grid)) > 0:
         wide = n.index(max(n)) if len(grid[n.index(max(n))]) else n.index(min(n))
         grid[wide] = grid[wide][1::2]
     ex, ey = grid
 
     def reach(c: str, band: Band, edges: list, kind: str) -> Column:
-        lo = F.lit(0) if band[1] is None else _cell(F.col(c) - F.lit(band[1]), edges, kind)
-        hi = F.lit(len(edges)) if band[0] is None else _cell(F.col(c) - F.lit(band[0]), edges, kind)
+        lo = F.lit(0) if band[1] is None else cell_of(F.col(c) - F.lit(band[1]), edges, kind)
+        hi = F.lit(len(edges)) if band[0] is None else cell_of(F.col(c) - F.lit(band[0]), edges, kind)
         return F.explode(F.sequence(lo, hi))
 
-    ls = ls.withColumns({"i": _cell(F.col("x"), ex, kinds[0]), "j": _cell(F.col("y"), ey, kinds[1])})
+    ls = ls.withColumns({"i": cell_of(F.col("x"), ex, kinds[0]), "j": cell_of(F.col("y"), ey, kinds[1])})
     rs = rs.withColumn("i", reach("x", bx, ex, kinds[0])).withColumn("j", reach("y", by, ey, kinds[1]))
     # A row for each cell at most: MOST_CELLS in each direction.
     sizes = lambda df, name: df.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / PLACE).cast("int").alias(name))

@@ -6,7 +6,10 @@ each operator's docstring.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,11 @@ from ..operators.patterns import match_rows, row
 from ..operators.quantiles import group_quantiles
 from ..operators.sliding import distinct_in_range
 from ..operators.triangles import triangles
+from ..sources.clustered import read_clustered, write_clustered
 from ..sources.shared import shared_dir
+from ..sources.snapshots import difference, write_snapshot
 from ..sources.tables import table
+from ..sources.workspace import Workspace
 from ..streaming.joins import within_join
 from ..streaming.windows import run_to_table
 
@@ -123,3 +129,29 @@ def stream_signup_buys(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda k: spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events*.parquet").where(F.col("event_type") == k).select("user_id", "ts", "event_id")
     pairs = within_join(kind("signup"), kind("purchase"), by="user_id", on="ts", seconds=2 * 86_400)
     return run_to_table(pairs.select(F.col("first.event_id").alias("signup_id"), F.col("later.event_id").alias("purchase_id")), shared_dir(spark))
+
+
+@_query("""
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, CAST(l_shipdate AS DATE) AS shipped
+FROM lineitem WHERE CAST(l_extendedprice AS DECIMAL(12,2)) BETWEEN 20000 AND 30000 AND CAST(l_shipdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-06-30'""")
+def clustered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of some months and prices, from a table that is clustered by both."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", money("l_extendedprice").alias("price"), F.col("l_shipdate").cast("date").alias("shipped"))
+    path = f"{Workspace(spark).root}/clustered-{uuid.uuid4().hex[:6]}"
+    write_clustered(lines, path, ["price", "shipped"])
+    return read_clustered(spark, path, {"price": (Decimal(20_000), Decimal(30_000)), "shipped": (date(1997, 3, 1), date(1997, 6, 30))})
+
+
+@_query("""
+SELECT o_orderkey, 'delete' AS change FROM orders WHERE o_orderkey % 97 = 0
+UNION ALL SELECT o_orderkey, 'change' FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 101 = 0
+UNION ALL SELECT o_orderkey + 1000000000000, 'insert' FROM orders WHERE o_orderkey % 103 = 0""")
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the orders and a later state of them, in which some are gone, some have another price and some are new."""
+    orders = table(spark, sf_dir, "orders")
+    later = orders.where("o_orderkey % 97 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 101 == 0, 1.0).otherwise(0.0))
+    later = later.union(orders.where("o_orderkey % 103 = 0").withColumn("o_orderkey", F.col("o_orderkey") + F.lit(1_000_000_000_000)))
+    root = f"{Workspace(spark).root}/orders-{uuid.uuid4().hex[:6]}"
+    write_snapshot(orders, f"{root}/old", ["o_orderkey"], parts=64)
+    write_snapshot(later, f"{root}/new", ["o_orderkey"], parts=64)
+    return difference(spark, f"{root}/old", f"{root}/new", ["o_orderkey"])
