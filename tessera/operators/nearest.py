@@ -18,15 +18,16 @@ from pyspark.sql.window import Window as W
 
 from ..sources.workspace import Workspace
 
-#: Vectors that centres are trained on, and queries that the recall is measured on, at most.
-SAMPLE, MEASURED = 32_768, 128
+#: Vectors that centres are trained on, those of them for the values of a code's parts, and queries that the recall is measured on, at most.
+SAMPLE, PART_SAMPLE, MEASURED = 32_768, 8192, 128
 #: Items of a list for which one more list is made, and centres of a half of the dimensions, at most: lists are pairs of these.
 LIST, MOST_CENTRES = 256, 1024
 #: Dimensions in a part of the code, and values of a part.
 PART, VALUES = 2, 256
 #: Items in a block of a list, and queries that meet it in one place.
 BLOCK, QUERIES = 1024, 8192
-ROUNDS = 12
+#: Lloyd's rounds.
+ROUNDS = 6
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -94,7 +95,7 @@ def train(sample: np.ndarray, rows: int) -> Codebook:
     """A codebook for a table of so many rows."""
     k = min(MOST_CENTRES, max(1, round(math.sqrt(rows / LIST))))
     cut = sample.shape[1] // 2
-    parts = [_kmeans(sample[:, at : at + PART], VALUES, at) for at in range(0, sample.shape[1], PART)]
+    parts = [_kmeans(sample[:PART_SAMPLE, at : at + PART], VALUES, at) for at in range(0, sample.shape[1], PART)]
     return Codebook((_kmeans(sample[:, :cut], k, 1), _kmeans(sample[:, cut:], k, 2)), parts)
 
 
@@ -106,14 +107,16 @@ def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep, out = [], []
-            for k, v in enumerate(b.column("v").to_pylist()):
-                x = np.array([np.nan if e is None else e for e in v], np.float64)
-                norm = np.sqrt((x * x).sum())
-                if 0 < norm < np.inf:
-                    keep.append(k)
-                    out.append((x / norm).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["id", "vec"])
+            size, values = b.column("v").value_lengths().to_numpy(), b.column("v").flatten().to_numpy(zero_copy_only=False)
+            at = np.cumsum(size) - size
+            # Rows of a length are a matrix; a null number is NaN, which no norm survives.
+            for n in np.unique(size[size > 0]).tolist():
+                own = np.flatnonzero(size == n)
+                x = values[at[own][:, None] + np.arange(n)]
+                norm = np.sqrt((x * x).sum(1))
+                good = (norm > 0) & (norm < np.inf)
+                unit = (x[good] / norm[good][:, None]).astype("<f4")
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(own[good])), pa.array([r.tobytes() for r in unit], pa.binary())], ["id", "vec"])
 
     kind = table.schema[id_col].dataType.simpleString()
     rows = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
