@@ -246,7 +246,8 @@ def simhash_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     edges = scratch.save(links(buckets(table, scratch)).distinct(), "links")
     comps = connected_components(edges, scratch).select(F.col("node").alias("fp"), "label")
     joined = scratch.save(comps.join(fps.hint("merge"), "fp"), "joined")
-    least = joined.groupBy("label").agg(F.min("least").alias("name"))
+    # Written, so that the join has two plain sides and a component with most of the nodes can be split.
+    least = scratch.save(joined.groupBy("label").agg(F.min("least").alias("name")), "least")
     names = scratch.save(joined.join(least.hint("merge"), "label").select("fp", "name"), "names")
     names = scratch.save(fps.join(names.hint("merge"), "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")), "named")
     return own.join(names.hint("merge"), "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
