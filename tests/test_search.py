@@ -197,3 +197,22 @@ def test_no_band_pairs(spark):
 def test_queries_have_rows(spark):
     assert QUERIES["bought_after_errors"](spark, SF).count() > 0
     assert QUERIES["similar_orders"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_band_looks_at_few_pairs(spark, monkeypatch):
+    """Pairs that meet in a place follow the rows and the pairs found, not the square of PLACE; far values and crowds change nothing."""
+    n, crowd = 40_000, 4000
+    df = spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("b"))
+    far = spark.range(n, n + 40).select("id", (F.col("id") * 10**12).alias("a"), F.lit(5).cast("bigint").alias("b"))
+    crowded = spark.range(2 * n, 2 * n + crowd).select("id", (F.pmod(F.xxhash64("id"), F.lit(20_000)) + 500_000).alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).alias("b"))
+    df = df.union(far).union(crowded)
+    met = []
+    monkeypatch.setattr(type(df), "join", lambda self, other, on, *a, f=type(df).join: met.append((self, other)) or f(self, other, on, *a))
+    pairs = band.band_join(df, df, x=("a", "a", (-50, 50)), y=("b", "b", (1, 7)))
+    monkeypatch.undo()
+    place = ["i", "j", "p", "q"]
+    a, b = (side.groupBy(*place).count().withColumnRenamed("count", name) for side, name in zip(met[-1], ("na", "nb"), strict=True))
+    looked = a.join(b, place).agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+    want = df.alias("l").join(df.alias("r"), F.expr("r.b - l.b between 1 and 7 and r.a - l.a between -50 and 50")).count()
+    assert pairs.count() == want > 0
+    assert looked <= 400 * n
