@@ -26,6 +26,8 @@ LIST, MOST_CENTRES = 256, 1024
 PART, VALUES = 2, 256
 #: Items in a block of a list, and queries that meet it in one place.
 BLOCK, QUERIES = 1024, 8192
+#: Numbers of a matrix in a task, about: of queries and lists, of queries and guides.
+TOGETHER = 1 << 21
 #: Lloyd's rounds.
 ROUNDS = 6
 
@@ -75,6 +77,11 @@ class Codebook:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([v[codes[:, k]] for k, v in enumerate(self.parts)], 1)
 
+    def pairs(self, n: int) -> int:
+        """Of how many pairs of centres ``probes`` takes the n nearest."""
+        a, b = (len(h) for h in self.halves)
+        return sum(min(n // (i + 1), b) for i in range(min(n, a)))
+
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n lists nearest to each row, in order.
 
@@ -218,6 +225,25 @@ def settings(vectors: DataFrame, book: Codebook, queries: np.ndarray, k: int, ta
 # ---- search ---------------------------------------------------------------------------
 
 
+def _probed(x: np.ndarray, book: Codebook, probes: int, keep: int, shown: np.ndarray):
+    """``row, list, low`` of the lists that each row probes and of its keep-th best guide, as flat arrays for some rows at a time.
+
+    Rows are taken by as many as keep the matrices of lists and of guides small, whatever
+    the number of lists: of a larger table there are more lists and fewer rows at a time.
+    """
+    width = max(len(shown), book.pairs(min(probes, book.lists)), 1)
+    step = max(1, TOGETHER // width)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        lists = book.probes(part, probes)
+        low = np.full(len(part), -2.0) if len(shown) < keep else np.partition(part @ shown.T, len(shown) - keep, 1)[:, len(shown) - keep]
+        row = np.repeat(np.arange(len(part)), lists.shape[1])
+        lists = lists.ravel()
+        for k in range(0, len(row), 65_536):
+            r = row[k : k + 65_536]
+            yield r + at, lists[k : k + 65_536].astype(np.int64), low[r].astype(np.float64)
+
+
 def _candidates(index: DataFrame, queries: DataFrame, book: Codebook, probes: int, keep: int, guides: np.ndarray, work: Workspace) -> DataFrame:
     """``q, node``: for each query the ``keep`` items with the best codes in the lists it probes.
 
@@ -230,13 +256,9 @@ def _candidates(index: DataFrame, queries: DataFrame, book: Codebook, probes: in
     def probed(batches):
         for b in batches:
             x = _matrix(b.column("vec"))
-            if len(x):
-                lists = book.probes(x, probes)
-                row = np.repeat(np.arange(len(x)), lists.shape[1])
-                low = np.full(len(x), -2.0) if len(shown) < keep else np.partition(x @ shown.T, len(shown) - keep, 1)[:, len(shown) - keep]
-                for k in range(0, len(row), 65_536):
-                    part = pa.array(row[k : k + 65_536])
-                    yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()[k : k + 65_536].astype(np.int64)), b.column("node").take(part), b.column("vec").take(part), pa.array(low[row[k : k + 65_536]].astype(np.float64))], ["list", "q", "vec", "low"])
+            for row, lists, low in _probed(x, book, probes, keep, shown) if len(x) else ():
+                part = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(lists), b.column("node").take(part), b.column("vec").take(part), pa.array(low)], ["list", "q", "vec", "low"])
 
     def compared(batches):
         block = nodes = None

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -216,3 +217,22 @@ def test_band_looks_at_few_pairs(spark, monkeypatch):
     want = df.alias("l").join(df.alias("r"), F.expr("r.b - l.b between 1 and 7 and r.a - l.a between -50 and 50")).count()
     assert pairs.count() == want > 0
     assert looked <= 400 * n
+
+
+def test_probes_take_memory_by_the_step():
+    """A batch of 10,000 queries against 1,600 and 6,400 lists and 8,192 guides: some tens of MB either way, and the same lists as at once."""
+    rng = np.random.default_rng(5)
+    x, shown = (rng.normal(size=(n, 16)).astype(np.float32) for n in (10_000, 8192))
+    peaks = []
+    for k in (40, 80):
+        book = nearest.Codebook(tuple(rng.normal(size=(k, 8)).astype(np.float32) for _ in range(2)), [])
+        tracemalloc.start()
+        n = sum(len(row) for row, _, _ in nearest._probed(x, book, k * k, 100, shown))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert n == len(x) * k * k
+    assert max(peaks) < 120
+    got = list(nearest._probed(x[:600], book, 50, 100, shown))
+    row, lists, low = (np.concatenate(c) for c in zip(*got, strict=True))
+    assert row.tolist() == np.repeat(np.arange(600), 50).tolist() and lists.tolist() == book.probes(x[:600], 50).ravel().tolist()
+    assert np.allclose(low[::50], np.sort(x[:600] @ shown.T, 1)[:, -100], atol=1e-4)
