@@ -1,4 +1,4 @@
-"""Nearest-neighbour join of vectors by cosine, over inverted lists with product codes.
+"""Nearest-neighbour join of vectors by cosine, over inverted lists with codes of a byte a number.
 
 Vectors lie in lists around trained centres and are compared there by their codes; the
 best of each query are scored again on the full vectors. How many lists a query probes and
@@ -8,6 +8,7 @@ how many candidates it keeps follow the recall measured on some queries.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +19,18 @@ from pyspark.sql.window import Window as W
 
 from ..sources.workspace import Workspace
 
-#: Vectors that centres are trained on, those of them for the values of a code's parts, and queries that the recall is measured on, at most.
-SAMPLE, PART_SAMPLE, MEASURED = 32_768, 8192, 128
+#: Vectors that centres are trained on, and queries that the recall is measured on, at most.
+SAMPLE, MEASURED = 32_768, 128
 #: Items of a list for which one more list is made, and centres of a half of the dimensions, at most: lists are pairs of these.
 LIST, MOST_CENTRES = 256, 1024
-#: Dimensions in a part of the code, and values of a part.
-PART, VALUES = 2, 256
-#: Items in a block of a list, and queries that meet it in one place.
-BLOCK, QUERIES = 1024, 8192
+#: Values of a dimension in a code.
+VALUES = 256
+#: Items in a block of a list, and queries in a chunk at most.
+BLOCK, QUERIES = 1024, 1 << 17
+#: Chunks of queries, or slices of the items, for which queries or items are few; queries of such a chunk and blocks of such a slice at least.
+CHUNKS, FEW_QUERIES, FEW_BLOCKS = 24, 1024, 64
+#: Candidates that a task keeps at most; it holds three times as many until it looks for the best.
+KEPT = 1 << 20
 #: Numbers of a matrix in a task, about: of queries and lists, of queries and guides.
 TOGETHER = 1 << 21
 #: Lloyd's rounds.
@@ -58,7 +63,7 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Codebook:
-    """Centres of the two halves of the dimensions, and the values of each part of a code."""
+    """Centres of the two halves of the dimensions; the least value of each dimension in a code, and the step to the next."""
 
     halves: tuple[np.ndarray, np.ndarray]
     parts: list[np.ndarray]
@@ -72,16 +77,24 @@ class Codebook:
         return _nearest(x[:, :cut], self.halves[0]) * len(self.halves[1]) + _nearest(x[:, cut:], self.halves[1])
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([_nearest(x[:, k * PART : (k + 1) * PART], v) for k, v in enumerate(self.parts)], 1).astype(np.uint8)
+        least, step = self.parts
+        return np.clip(np.rint((x - least) / step), 0, VALUES - 1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([v[codes[:, k]] for k, v in enumerate(self.parts)], 1)
+        least, step = self.parts
+        return codes * step + least
 
     def pairs(self, n: int) -> int:
         """Of how many pairs of centres ``probes`` takes the n nearest."""
         a, b = (len(h) for h in self.halves)
         return sum(min(n // (i + 1), b) for i in range(min(n, a)))
 
+    def gap(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """As ``probes`` ranks them, how far each row is from one list."""
+        cut = self.halves[0].shape[1]
+        sides = ((x[:, :cut], self.halves[0][lists // len(self.halves[1])]), (x[:, cut:], self.halves[1][lists % len(self.halves[1])]))
+        return sum((c * c).sum(1) - 2 * (part * c).sum(1) for part, c in sides)
+
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n lists nearest to each row, in order.
 
@@ -102,7 +115,8 @@ def train(sample: np.ndarray, rows: int) -> Codebook:
     """A codebook for a table of so many rows."""
     k = min(MOST_CENTRES, max(1, round(math.sqrt(rows / LIST))))
     cut = sample.shape[1] // 2
-    parts = [_kmeans(sample[:PART_SAMPLE, at : at + PART], VALUES, at) for at in range(0, sample.shape[1], PART)]
+    least, most = sample.min(0), sample.max(0)
+    parts = [least, np.where(most > least, (most - least) / (VALUES - 1), 1).astype(np.float32)]
     return Codebook((_kmeans(sample[:, :cut], k, 1), _kmeans(sample[:, cut:], k, 2)), parts)
 
 
@@ -244,58 +258,140 @@ def _probed(x: np.ndarray, book: Codebook, probes: int, keep: int, shown: np.nda
             yield r + at, lists[k : k + 65_536].astype(np.int64), low[r].astype(np.float64)
 
 
+def _place(x: np.ndarray, node: np.ndarray, book: Codebook) -> np.ndarray:
+    """By which queries are dealt in chunks: the nearest list, and within it a hash."""
+    return book.list_of(x) + (((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) / 2.0**31)
+
+
+class _Best:
+    """The ``keep`` best candidates of each query of a chunk."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, low: np.ndarray, reach: np.ndarray, book: Codebook, keep: int):
+        self.q, self.x, self.reach, self.book, self.keep = q, x, reach, book, keep
+        # Products of matrices of other shapes are rounded otherwise.
+        self.low = (low - 1e-6).astype(np.float32)
+        cut = book.halves[0].shape[1]
+        self.sides = [np.ascontiguousarray(x[:, :cut]), np.ascontiguousarray(x[:, cut:])]
+        self.at, self.gap = [-1, -1], [None, None]
+        self.held, self.n = [], 0
+
+    def probing(self, which: int) -> np.ndarray:
+        """The rows that probe a list; only what is within their reach, whatever the rounding."""
+        for side, c in enumerate(divmod(which, len(self.book.halves[1]))):
+            if self.at[side] != c:
+                centre = self.book.halves[side][c]
+                self.at[side], self.gap[side] = c, (centre * centre).sum() - 2 * (self.sides[side] @ centre)
+        return np.flatnonzero(self.gap[0] + self.gap[1] <= self.reach + 1e-5)
+
+    def meet(self, which: int, nodes: np.ndarray, codes: np.ndarray) -> None:
+        own, block = self.probing(which), self.book.decode(codes).T
+        step = max(1, TOGETHER // len(nodes))
+        for at in range(0, len(own), step):
+            rows = own[at : at + step]
+            s = (self.x if len(rows) == len(self.x) else self.x[rows]) @ block
+            hit = np.flatnonzero(s >= self.low[rows][:, None])
+            self.held.append((rows[hit // len(nodes)].astype(np.int32), nodes[hit % len(nodes)], s.ravel()[hit]))
+            self.n += len(hit)
+            if self.n > 3 * KEPT:
+                self.settle()
+
+    def settle(self) -> None:
+        """Only the best stay, and what is worse than the last of them is not held any more."""
+        row, node, near = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((node, -near, row))
+        row, node, near = row[order], node[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        own, last = place < self.keep, place == self.keep - 1
+        self.low[row[last]] = np.maximum(self.low[row[last]], near[last])
+        self.held = [(row[own], node[own], near[own])]
+        self.n = int(own.sum())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.settle()
+            row, node, near = self.held[0]
+            for k in range(0, len(row), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(self.q[row[k : k + 65_536]]), pa.array(node[k : k + 65_536]), pa.array(near[k : k + 65_536].astype(np.float64))], ["q", "node", "near"])
+
+
 def _candidates(index: DataFrame, queries: DataFrame, book: Codebook, probes: int, keep: int, guides: np.ndarray, work: Workspace) -> DataFrame:
     """``q, node``: for each query the ``keep`` items with the best codes in the lists it probes.
 
-    A block of a list meets a chunk of the list's queries in one task, so neither a long list
-    nor one that many queries probe is one task's work. guides: vectors of the index; a
-    candidate that is worse than the keep-th of these is not sent on.
+    Queries are in chunks of near ones. A chunk is sent once, to one task, and each block of
+    a list that any of its queries probes passes there, so what is written is a row for each
+    query and the codes times the chunks, of which there are CHUNKS until they hold QUERIES
+    or KEPT candidates each. Of few queries the blocks are parted in slices besides. guides:
+    vectors of the index; a candidate that is worse than the keep-th of these is not held.
     """
     shown = book.decode(book.encode(guides))
+    n, blocks = queries.count(), index.count()
+    chunks = max(math.ceil(n / min(QUERIES, max(1, KEPT // keep))), min(CHUNKS, math.ceil(n / FEW_QUERIES)), 1)
+    slices = max(1, min(math.ceil(CHUNKS / chunks), math.ceil(blocks / FEW_BLOCKS)))
+
+    def placed(batches):
+        for b in batches:
+            x = _matrix(b.column("vec"))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(_place(x, b.column("node").to_numpy(), book))], ["place"])
+
+    shares = [k / chunks for k in range(1, chunks)]
+    bounds = np.array(queries.select("node", "vec").mapInArrow(placed, "place double").agg(F.percentile_approx("place", shares, 10_000)).first()[0] if shares else [])
 
     def probed(batches):
+        seen = np.zeros((chunks, book.lists), bool)
+        names = ["chunk", "list", "q", "vec", "low", "reach"]
         for b in batches:
             x = _matrix(b.column("vec"))
-            for row, lists, low in _probed(x, book, probes, keep, shown) if len(x) else ():
-                part = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(lists), b.column("node").take(part), b.column("vec").take(part), pa.array(low)], ["list", "q", "vec", "low"])
+            if not len(x):
+                continue
+            chunk = np.searchsorted(bounds, _place(x, b.column("node").to_numpy(), book), side="right")
+            low, reach = np.empty(len(x)), np.empty(len(x))
+            for row, lists, least in _probed(x, book, probes, keep, shown):
+                seen[chunk[row], lists] = True
+                # The last list of a row is its farthest.
+                last = np.flatnonzero(np.diff(row, append=-1))
+                low[row[last]], reach[row[last]] = least[last], book.gap(x[row[last]], lists[last])
+            if probes >= book.lists:
+                reach[:] = np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.nulls(len(x), pa.int64()), b.column("node"), b.column("vec"), pa.array(low), pa.array(reach)], names)
+        chunk, lists = np.nonzero(seen)
+        for k in range(0, len(chunk), 65_536):
+            part = [pa.array(v[k : k + 65_536]) for v in (chunk, lists)]
+            yield pa.RecordBatch.from_arrays([*part, *(pa.nulls(len(part[0]), kind) for kind in (pa.int64(), pa.binary(), pa.float64(), pa.float64()))], names)
 
     def compared(batches):
-        block = nodes = None
+        best, waiting, group = None, [], None
         for b in batches:
-            for lo, hi in _runs(b):
-                if b.column("items")[lo].is_valid:
-                    own = b.column("items").slice(lo, 1).flatten()
-                    nodes = own.field("node").to_numpy()
-                    block = book.decode(np.frombuffer(b"".join(own.field("code").to_pylist()), np.uint8).reshape(len(own), -1))
-                    lo += 1
-                for at in range(lo, hi, 512):
-                    part = b.slice(at, min(512, hi - at))
-                    s = _matrix(part.column("vec")) @ block.T
-                    n = min(keep, s.shape[1])
-                    top = np.argpartition(-s, n - 1, 1)[:, :n]
-                    value = np.take_along_axis(s, top, 1)
-                    r, c = np.nonzero(value >= part.column("low").to_numpy()[:, None])
-                    yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(r)), pa.array(nodes[top[r, c]]), pa.array(value[r, c].astype(np.float64))], ["q", "node", "near"])
-
-    asked = work.save(queries.select("node", "vec").mapInArrow(probed, "list bigint, q bigint, vec binary, low double"), "probes")
-    load = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
-    sizes = work.save(index.where("block = 0").select("list", "blocks").join(load, "list"), "load")
-    asked = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), "q", "vec", "low")
-    held = index.join(sizes.drop("blocks"), "list").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "items")
-    both = held.unionByName(asked, allowMissingColumns=True).withColumn("side", F.col("items").isNull())
-    both = both.repartition("list", "block", "chunk").sortWithinPartitions("list", "block", "chunk", "side").select("list", "block", "chunk", "items", "q", "vec", "low")
+            groups, is_query = b.column("group").to_numpy(), b.column("q").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(groups) != 0) | (np.diff(is_query) != 0) | ~is_query[1:]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo and groups[lo] != group:
+                    if best:
+                        yield from best.rows()
+                    best, waiting, group = None, [], groups[lo]
+                part = b.slice(lo, hi - lo)
+                if hi > lo and is_query[lo]:
+                    waiting.append([*(part.column(c).to_numpy() for c in ("q", "low", "reach")), _matrix(part.column("vec"))])
+                elif hi > lo and waiting:
+                    if best is None:
+                        q, low, reach, x = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                        best = _Best(q, x, low, reach, book, keep)
+                    own = part.column("items").flatten()
+                    best.meet(part.column("list")[0].as_py(), own.field("node").to_numpy(), np.frombuffer(b"".join(own.field("code").to_pylist()), np.uint8).reshape(len(own), -1))
+        if best:
+            yield from best.rows()
+
+    asked = work.save(queries.select("node", "vec").mapInArrow(probed, "chunk bigint, list bigint, q bigint, vec binary, low double, reach double"), "probes")
+    wanted = asked.where("q is null").select("chunk", "list").distinct()
+    group = lambda part: (F.col("chunk") * slices + part).cast("int").alias("group")
+    held = index.join(wanted, "list").select(group(F.pmod(F.xxhash64("list", "block"), F.lit(slices))), "list", "block", "items")
+    sent = asked.where("q is not null").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(group(F.col("slice")), "q", "vec", "low", "reach")
+    both = held.unionByName(sent, allowMissingColumns=True).repartitionById(chunks * slices, F.col("group"))
+    both = both.sortWithinPartitions("group", F.col("q").isNull(), "list", "block").select("group", "list", "items", "q", "vec", "low", "reach")
     found = both.mapInArrow(compared, "q bigint, node bigint, near double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("near"), "node"))).where(F.col("rank") <= keep).select("q", "node")
-
-
-def _runs(b: pa.RecordBatch) -> list[tuple[int, int]]:
-    """Ranges of a batch with one block and chunk; a row with items begins each but, perhaps, the first."""
-    if not b.num_rows:
-        return []
-    starts = np.flatnonzero(np.array(b.column("items").is_valid()))
-    at = sorted({0, *starts.tolist(), b.num_rows})
-    return list(zip(at, at[1:], strict=False))
+    if slices > 1:
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("near"), "node"))).where(F.col("rank") <= keep)
+    return found.select("q", "node")
 
 
 def _rescored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -236,3 +236,52 @@ def test_probes_take_memory_by_the_step():
     row, lists, low = (np.concatenate(c) for c in zip(*got, strict=True))
     assert row.tolist() == np.repeat(np.arange(600), 50).tolist() and lists.tolist() == book.probes(x[:600], 50).ravel().tolist()
     assert np.allclose(low[::50], np.sort(x[:600] @ shown.T, 1)[:, -100], atol=1e-4)
+
+
+def test_searches_write_rows_by_the_vector(spark, monkeypatch):
+    """Of vectors without clusters, which probe nearly all lists: four times the vectors, about four times the rows of probes and candidates."""
+    monkeypatch.setattr(nearest, "LIST", 16)
+    monkeypatch.setattr(nearest, "FEW_BLOCKS", 1)
+    saved = []
+    monkeypatch.setattr(nearest.Workspace, "save", lambda self, df, name, f=nearest.Workspace.save: saved.append((name, f(self, df, name))) or saved[-1][1])
+    rng = np.random.default_rng(11)
+    sizes = []
+    for n in (500, 2000):
+        rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 16)))]
+        df = spark.createDataFrame(rows, "id int, v array<double>")
+        asking = df.where("id < 100") if n == 500 else None  # few queries meet slices of the items
+        got, want = answers(nearest.nearest(df, 5, id_col="id", vector_col="v", queries=asking)), exact(rows, 5)
+        assert recall(got, {i: w for i, w in want.items() if n > 500 or i < 100}) >= 0.95
+        if n == 500:
+            saved.clear()
+            assert nearest.nearest(df, 5, id_col="id", vector_col="v").count() == 5 * n
+        sizes.append(sum(t.count() for name, t in saved if name in ("probes", "candidates")))
+        saved.clear()
+    assert sizes[1] <= 5 * sizes[0] and sizes[1] <= 40 * 2000
+
+
+def test_best_candidates_are_kept_some_at_a_time(monkeypatch):
+    """Few candidates are held, and the best of all blocks stay; a query meets the lists within its reach only."""
+    monkeypatch.setattr(nearest, "KEPT", 200)
+    monkeypatch.setattr(nearest, "TOGETHER", 500)
+    rng = np.random.default_rng(2)
+    x, items = (rng.normal(size=(n, 8)).astype(np.float32) for n in (40, 600))
+    x, items = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, items))
+    book = nearest.train(items, 600)
+    book = nearest.Codebook(tuple(nearest._kmeans(items[:, c], 3, 1) for c in (slice(0, 4), slice(4, 8))), book.parts)
+    codes, lists = book.encode(items), book.list_of(items)
+    for probes in (9, 2):
+        near = book.probes(x, probes)
+        reach = book.gap(x, near[:, -1])
+        best = nearest._Best(np.arange(40) + 100, x, np.full(40, -2.0), reach, book, 5)
+        for k in range(9):
+            own = np.flatnonzero(lists == k)
+            best.meet(k, own, codes[own])
+        found = {}
+        for b in best.rows():
+            for q, node in zip(b.column("q").to_pylist(), b.column("node").to_pylist(), strict=True):
+                found.setdefault(q - 100, []).append(node)
+        s = x @ book.decode(codes).T
+        for q in range(40):
+            own = np.flatnonzero(np.isin(lists, near[q]))
+            assert found[q] == own[np.lexsort((own, -s[q, own]))[:5]].tolist()
